@@ -24,20 +24,22 @@ def cumulative(counts: DataFrame, by: list[str], value: str, measures: list[str]
     `counts` holds one row per group and value.
     """
     grid = [i / RANGES for i in range(1, RANGES)]
-    groups = counts.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_distinct"), F.percentile_approx(value, grid, 2560).alias("_grid")
-    )
     pieces = F.least(F.lit(RANGES), F.ceil(F.col("_distinct") / F.lit(rows_per_range))).cast("int")
-    cuts = F.when(
-        F.col("_pieces") > 1,
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.col("_pieces") - 1, F.lit(1))),
-            lambda i: F.element_at("_grid", F.greatest(F.floor(i * RANGES / F.col("_pieces")), F.lit(1)).cast("int")),
-        ),
+    sizes = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("_distinct"))
+    # at most one row per `rows_per_range` input rows, so this side stays small whatever the input
+    large = sizes.where(F.col("_distinct") > rows_per_range).select(*by, pieces.alias("_pieces"))
+    cut = F.transform(
+        F.sequence(F.lit(1), F.col("_pieces") - 1),
+        lambda i: F.element_at("_grid", F.greatest(F.floor(i * RANGES / F.col("_pieces")), F.lit(1)).cast("int")),
+    )
+    edges = (
+        counts.join(F.broadcast(large), by)
+        .groupBy(*by, "_pieces")
+        .agg(F.percentile_approx(value, grid, 2560).alias("_grid"))
+        .select(*by, cut.alias("_cuts"))
     )
-    edges = groups.withColumn("_pieces", pieces).select(*by, cuts.alias("_cuts"))
     rng = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.size(F.filter("_cuts", lambda e: e < F.col(value))))
-    routed = counts.join(edges, by).withColumn("_range", rng).drop("_cuts")
+    routed = counts.join(edges, by, "left").withColumn("_range", rng).drop("_cuts")
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
     totals = routed.groupBy(*by, "_range").agg(*[F.sum(m).alias(f"_{m}") for m in measures])
