@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.expr import TRADING_DAYS, div, gated, last_n, series, so_far
+from marketloom.operators.ordering import positions
 
 # Accounting concepts and the filing tags that feed them.
 CONCEPT_TAGS = {
@@ -218,14 +219,19 @@ def macro(aligned: DataFrame, by: str = "symbol", ts: str = "ts") -> DataFrame:
     return df.withColumn("cpi_volatility_12m", gated(F.stddev_samp("cpi_change_1m").over(year), "cpi_change_1m", year, TRADING_DAYS))
 
 
-def cross_sectional_percentile(df: DataFrame, by: str, cols: dict[str, str], min_universe: int = 10) -> DataFrame:
-    """Average-tie percent rank per date; null while the date has too few values."""
-    from marketloom.operators.ordering import positions
+def cross_sectional_percentile(
+    df: DataFrame, by: str, cols: dict[str, str], min_universe: int = 10, key: str = "symbol"
+) -> DataFrame:
+    """Average-tie percent rank per date; null while the date has too few values.
 
-    for out, x in cols.items():
-        pct = F.when(F.col("n_total") >= min_universe, F.col("avg_rank") / F.col("n_total")).alias(out)
-        df = df.join(positions(df, [by], x).select(by, x, pct), [by, x], "left")
-    return df
+    All columns are ranked in one pass over (date, column, value) counts.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(o).alias("_c"), F.col(x).alias("_x")) for o, x in cols.items()]))
+    long = df.select(by, key, pairs.alias("s")).select(by, key, "s.*").where(F.col("_x").isNotNull())
+    pct = F.when(F.col("n_total") >= min_universe, F.col("avg_rank") / F.col("n_total"))
+    ranks = positions(long, [by, "_c"], "_x").select(by, "_c", "_x", pct.alias("_pct"))
+    wide = long.join(ranks, [by, "_c", "_x"]).groupBy(by, key).agg(*[F.max(F.when(F.col("_c") == o, F.col("_pct"))).alias(o) for o in cols])
+    return df.join(wide, [by, key], "left")
 
 
 def cross_sectional_zscore(df: DataFrame, by: str, cols: dict[str, str], min_universe: int = 10) -> DataFrame:

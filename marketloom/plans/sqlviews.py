@@ -50,12 +50,12 @@ filing_base AS (
          rev, assets, 5 * disc AS liab, assets - 5 * disc AS equity, rev - 0.6::DOUBLE * ext AS op
   FROM filing_sums),
 filing_facts AS (
-  SELECT cik, accession_number, form_type, filing_date, end_date, 'us-gaap:Revenues' AS concept, round(rev, 2) AS value FROM filing_base
-  UNION ALL SELECT cik, accession_number, form_type, filing_date, end_date, 'us-gaap:Assets', round(assets, 2) FROM filing_base
-  UNION ALL SELECT cik, accession_number, form_type, filing_date, end_date, 'us-gaap:Liabilities', round(liab, 2) FROM filing_base
-  UNION ALL SELECT cik, accession_number, form_type, filing_date, end_date, 'us-gaap:StockholdersEquity', round(equity, 2) FROM filing_base
-  UNION ALL SELECT cik, accession_number, form_type, filing_date, end_date, 'us-gaap:OperatingIncomeLoss', round(op, 2) FROM filing_base
-  UNION ALL SELECT cik, accession_number, form_type, filing_date, end_date, 'us-gaap:NetIncomeLoss', round(0.5::DOUBLE * op, 2) FROM filing_base)"""
+  SELECT cik, accession_number, form_type, filing_date, end_date, 'us-gaap:Revenues' AS concept, round(rev, 6) AS value FROM filing_base
+  UNION ALL SELECT cik, accession_number, form_type, filing_date, end_date, 'us-gaap:Assets', round(assets, 6) FROM filing_base
+  UNION ALL SELECT cik, accession_number, form_type, filing_date, end_date, 'us-gaap:Liabilities', round(liab, 6) FROM filing_base
+  UNION ALL SELECT cik, accession_number, form_type, filing_date, end_date, 'us-gaap:StockholdersEquity', round(equity, 6) FROM filing_base
+  UNION ALL SELECT cik, accession_number, form_type, filing_date, end_date, 'us-gaap:OperatingIncomeLoss', round(op, 6) FROM filing_base
+  UNION ALL SELECT cik, accession_number, form_type, filing_date, end_date, 'us-gaap:NetIncomeLoss', round(0.5::DOUBLE * op, 6) FROM filing_base)"""
 NEWS = """news AS (
   SELECT doc_id AS article_id, text AS title, source AS url, source AS source_name, text AS content,
          o_orderdate + to_hours(CAST((doc_id * 7) % 24 AS INTEGER)) AS published_at

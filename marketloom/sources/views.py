@@ -108,7 +108,7 @@ def filing_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "us-gaap:OperatingIncomeLoss": op,
         "us-gaap:NetIncomeLoss": F.lit(0.5) * op,
     }
-    facts = F.explode(F.array(*[F.struct(F.lit(k).alias("concept"), F.round(v, 2).alias("value")) for k, v in concepts.items()]))
+    facts = F.explode(F.array(*[F.struct(F.lit(k).alias("concept"), F.round(v, 6).alias("value")) for k, v in concepts.items()]))
     return sums.select(
         cik.alias("cik"),
         F.concat(cik, F.year("q").cast("string"), F.quarter("q").cast("string")).alias("accession_number"),

@@ -26,13 +26,13 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return f"{v + 0.0:.9g}"
+        return repr(v + 0.0)
     if isinstance(v, bool):
         return str(v)
     if isinstance(v, (list, tuple)):
         return "[" + ",".join(str(_norm(x)) for x in v) + "]"
     if hasattr(v, "as_tuple"):
-        return f"{float(v):.9g}"
+        return repr(float(v))
     return None if v is None else str(v)
 
 
