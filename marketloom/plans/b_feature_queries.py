@@ -44,9 +44,9 @@ def feat_02(spark, sf):
     return out(X.technical(V.market_prices(spark, sf)), [f"log_ret_{n}d" for n in (1, 5, 20)])
 
 
-@query("feat_03", market_sql(*[f"{gate('close', n, f'avg(close) OVER {frame(n)}', 9)} AS sma_{n}d" for n in (20, 50, 100, 200)]))
+@query("feat_03", market_sql(*[f"{gate('close', n, f'avg(close) OVER {frame(n)}', 6)} AS sma_{n}d" for n in (20, 50, 100, 200)]))
 def feat_03(spark, sf):
-    return out(X.technical(V.market_prices(spark, sf)), [f"sma_{n}d" for n in (20, 50, 100, 200)], 9)
+    return out(X.technical(V.market_prices(spark, sf)), [f"sma_{n}d" for n in (20, 50, 100, 200)], 6)
 
 
 def _ema_sql(n):

@@ -11,8 +11,8 @@ def _bars(name: str, symbol: str) -> str:
     px = "(1000.0::DOUBLE + l_extendedprice / l_quantity / 1000.0::DOUBLE)"
     return f"""{name}_raw AS (
   SELECT {symbol} AS symbol, CAST(l_shipdate AS DATE) AS ts,
-         round(max({px}), 6) AS high, round(min({px}), 6) AS low,
-         round(1000.0::DOUBLE + sum(l_extendedprice) / sum(l_quantity) / 1000.0::DOUBLE, 6) AS close,
+         max({px}) AS high, min({px}) AS low,
+         1000.0::DOUBLE + round(sum(l_extendedprice), 2) / sum(l_quantity) / 1000.0::DOUBLE AS close,
          CAST(sum(l_quantity) AS BIGINT) AS volume
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
 {name} AS (SELECT symbol, ts, (high + low) / 2 AS open, high, low, close, volume FROM {name}_raw)"""
@@ -30,17 +30,17 @@ returns AS (
 )
 MACRO = """macro_monthly AS (
   SELECT o_orderpriority AS series_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS observation_date,
-         avg(CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END) AS first_print, avg(o_totalprice) AS revision
+         round(sum(CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END), 2) / nullif(count(CASE WHEN o_orderstatus <> 'P' THEN 1 END), 0) AS first_print, round(sum(o_totalprice), 2) / count(o_totalprice) AS revision
   FROM orders GROUP BY 1, 2),
 macro_obs AS (
-  SELECT series_id, observation_date, round(first_print, 4) AS value,
+  SELECT series_id, observation_date, first_print AS value,
          CAST(last_day(observation_date) + 15 AS DATE) AS realtime_start FROM macro_monthly WHERE first_print IS NOT NULL
   UNION ALL
-  SELECT series_id, observation_date, round(revision, 4), CAST(last_day(observation_date) + 45 AS DATE) FROM macro_monthly)"""
+  SELECT series_id, observation_date, revision, CAST(last_day(observation_date) + 45 AS DATE) FROM macro_monthly)"""
 FACTS = """filing_sums AS (
   SELECT c_nationkey, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS q,
-         sum(l_extendedprice * (1 - l_discount)) AS rev, sum(l_extendedprice * (1 + l_tax)) AS assets,
-         sum(l_extendedprice * l_discount) AS disc, sum(l_extendedprice) AS ext
+         round(sum(l_extendedprice * (1 - l_discount)), 4) AS rev, round(sum(l_extendedprice * (1 + l_tax)), 4) AS assets,
+         round(sum(l_extendedprice * l_discount), 4) AS disc, round(sum(l_extendedprice), 4) AS ext
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
 filing_base AS (
   SELECT lpad(CAST(c_nationkey AS VARCHAR), 10, '0') AS cik,
@@ -50,12 +50,12 @@ filing_base AS (
          rev, assets, 5 * disc AS liab, assets - 5 * disc AS equity, rev - 0.6::DOUBLE * ext AS op
   FROM filing_sums),
 filing_facts AS (
-  SELECT cik, accession_number, form_type, filing_date, end_date, 'us-gaap:Revenues' AS concept, round(rev, 6) AS value FROM filing_base
-  UNION ALL SELECT cik, accession_number, form_type, filing_date, end_date, 'us-gaap:Assets', round(assets, 6) FROM filing_base
-  UNION ALL SELECT cik, accession_number, form_type, filing_date, end_date, 'us-gaap:Liabilities', round(liab, 6) FROM filing_base
-  UNION ALL SELECT cik, accession_number, form_type, filing_date, end_date, 'us-gaap:StockholdersEquity', round(equity, 6) FROM filing_base
-  UNION ALL SELECT cik, accession_number, form_type, filing_date, end_date, 'us-gaap:OperatingIncomeLoss', round(op, 6) FROM filing_base
-  UNION ALL SELECT cik, accession_number, form_type, filing_date, end_date, 'us-gaap:NetIncomeLoss', round(0.5::DOUBLE * op, 6) FROM filing_base)"""
+  SELECT cik, accession_number, form_type, filing_date, end_date, 'us-gaap:Revenues' AS concept, rev AS value FROM filing_base
+  UNION ALL SELECT cik, accession_number, form_type, filing_date, end_date, 'us-gaap:Assets', assets FROM filing_base
+  UNION ALL SELECT cik, accession_number, form_type, filing_date, end_date, 'us-gaap:Liabilities', liab FROM filing_base
+  UNION ALL SELECT cik, accession_number, form_type, filing_date, end_date, 'us-gaap:StockholdersEquity', equity FROM filing_base
+  UNION ALL SELECT cik, accession_number, form_type, filing_date, end_date, 'us-gaap:OperatingIncomeLoss', op FROM filing_base
+  UNION ALL SELECT cik, accession_number, form_type, filing_date, end_date, 'us-gaap:NetIncomeLoss', 0.5::DOUBLE * op FROM filing_base)"""
 NEWS = """news AS (
   SELECT doc_id AS article_id, text AS title, source AS url, source AS source_name, text AS content,
          o_orderdate + to_hours(CAST((doc_id * 7) % 24 AS INTEGER)) AS published_at

@@ -3,6 +3,8 @@
 Bars are grouped by symbol and day before anything else sees them. A symbol's series is therefore
 bounded by the number of calendar days, however many raw rows the symbol has, and a hot symbol is
 combined on the map side of that one aggregation.
+
+Sums are rounded to the decimals they exactly have, so that they do not depend on the order of summation.
 """
 
 from __future__ import annotations
@@ -33,9 +35,9 @@ def _bars(spark: SparkSession, sf_dir: str, symbol: str) -> DataFrame:
         items.join(parts, F.col("l_partkey") == F.col("p_partkey"))
         .groupBy(F.col(symbol).alias("symbol"), F.to_date("l_shipdate").alias("ts"))
         .agg(
-            F.round(F.max(px), 6).alias("high"),
-            F.round(F.min(px), 6).alias("low"),
-            F.round(F.lit(1000.0) + F.sum("l_extendedprice") / F.sum("l_quantity") / F.lit(1000.0), 6).alias("close"),
+            F.max(px).alias("high"),
+            F.min(px).alias("low"),
+            (F.lit(1000.0) + F.round(F.sum("l_extendedprice"), 2) / F.sum("l_quantity") / F.lit(1000.0)).alias("close"),
             F.sum("l_quantity").cast("bigint").alias("volume"),
         )
         .select("symbol", "ts", ((F.col("high") + F.col("low")) / 2).alias("open"), "high", "low", "close", "volume")
@@ -63,7 +65,10 @@ def macro_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     monthly = (
         table(spark, sf_dir, "orders")
         .groupBy(F.col("o_orderpriority").alias("series_id"), month.alias("observation_date"))
-        .agg(F.avg(closed).alias("first_print"), F.avg("o_totalprice").alias("revision"))
+        .agg(
+            (F.round(F.sum(closed), 2) / F.nullif(F.count(closed), F.lit(0))).alias("first_print"),
+            (F.round(F.sum("o_totalprice"), 2) / F.count("o_totalprice")).alias("revision"),
+        )
     )
     vintages = F.explode(
         F.array(
@@ -74,7 +79,7 @@ def macro_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monthly.select("series_id", "observation_date", vintages.alias("v")).select(
         "series_id",
         "observation_date",
-        F.round("v.value", 4).alias("value"),
+        F.col("v.value").alias("value"),
         F.date_add(F.last_day("observation_date"), F.col("v.lag_days")).alias("realtime_start"),
     ).where(F.col("value").isNotNull())
 
@@ -91,10 +96,10 @@ def filing_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(cu, F.col("o_custkey") == F.col("c_custkey"))
         .groupBy("c_nationkey", quarter.alias("q"))
         .agg(
-            F.sum(ext * (1 - F.col("l_discount"))).alias("rev"),
-            F.sum(ext * (1 + F.col("l_tax"))).alias("assets"),
-            F.sum(ext * F.col("l_discount")).alias("disc"),
-            F.sum(ext).alias("ext"),
+            F.round(F.sum(ext * (1 - F.col("l_discount"))), 4).alias("rev"),
+            F.round(F.sum(ext * (1 + F.col("l_tax"))), 4).alias("assets"),
+            F.round(F.sum(ext * F.col("l_discount")), 4).alias("disc"),
+            F.round(F.sum(ext), 4).alias("ext"),
         )
     )
     end = F.date_sub(F.add_months("q", 3), 1)
@@ -108,7 +113,7 @@ def filing_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "us-gaap:OperatingIncomeLoss": op,
         "us-gaap:NetIncomeLoss": F.lit(0.5) * op,
     }
-    facts = F.explode(F.array(*[F.struct(F.lit(k).alias("concept"), F.round(v, 6).alias("value")) for k, v in concepts.items()]))
+    facts = F.explode(F.array(*[F.struct(F.lit(k).alias("concept"), v.alias("value")) for k, v in concepts.items()]))
     return sums.select(
         cik.alias("cik"),
         F.concat(cik, F.year("q").cast("string"), F.quarter("q").cast("string")).alias("accession_number"),
