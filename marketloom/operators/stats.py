@@ -169,26 +169,27 @@ def _average_ranks(v: np.ndarray) -> np.ndarray:
 
 def pair_statistics(
     df: DataFrame, x: str = "log_return", by: str = "symbol", ts: str = "ts", diagonal: bool = False,
-    block: int = 128, rank: bool = True, blocks: int | None = None,
+    block: int = 128, rank: bool = True, blocks: int | None = None, keys: tuple[str, ...] = (),
 ) -> DataFrame:
     """Pair-complete n, Pearson r, Spearman rho and covariance for all symbols a < b.
 
     A self-join on the day would emit every pair of every day. Instead symbols are hashed into blocks and
     each pair of blocks is one task that holds about 2 x `block` daily series, so data is copied once per
-    block and the only all-pairs object is the result.
+    block and the only all-pairs object is the result. String columns in `keys` separate the pairs.
     """
-    rows = df.select(by, ts, F.col(x).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    rows = df.select(*keys, by, ts, F.col(x).cast("double").alias("_x")).where(F.col("_x").isNotNull())
     if blocks is None:
         blocks = max(1, -(-rows.agg(F.approx_count_distinct(by)).first()[0] // block))
     rows = rows.withColumn("_b", F.pmod(F.xxhash64(by), F.lit(blocks)).cast("int"))
     cells = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    rows = rows.withColumn("_o", cells).select(by, ts, "_x", "_b", F.least("_b", "_o").alias("_p"), F.greatest("_b", "_o").alias("_q"))
+    rows = rows.withColumn("_o", cells).select(*keys, by, ts, "_x", "_b", F.least("_b", "_o").alias("_p"), F.greatest("_b", "_o").alias("_q"))
 
     def cell(pdf: pd.DataFrame) -> pd.DataFrame:
         same = pdf["_p"].iat[0] == pdf["_q"].iat[0]
         wide = pdf.drop_duplicates([ts, by]).pivot(index=ts, columns=by, values="_x")
         home = pdf.drop_duplicates(by).set_index(by)["_b"]
         names, m = list(wide.columns), wide.to_numpy()
+        head = tuple(pdf[k].iat[0] for k in keys)
         have = ~np.isnan(m)
         out = []
         for i, a in enumerate(names):
@@ -209,10 +210,10 @@ def pair_statistics(
                             ru, rv = _average_ranks(u), _average_ranks(v)
                             ru, rv = ru - ru.mean(), rv - rv.mean()
                             stats[1] = (ru @ rv) / np.sqrt((ru @ ru) * (rv @ rv))
-                out.append((a, names[j], n, *stats))
-        return pd.DataFrame(out, columns=["a", "b", "n", "pearson", "spearman", "cov"]).astype({"pearson": float, "spearman": float, "cov": float})
+                out.append((*head, a, names[j], n, *stats))
+        return pd.DataFrame(out, columns=[*keys, "a", "b", "n", "pearson", "spearman", "cov"]).astype({"pearson": float, "spearman": float, "cov": float})
 
-    return rows.groupBy("_p", "_q").applyInPandas(cell, PAIR_SCHEMA).replace(float("nan"), None, ["pearson", "spearman", "cov"])
+    return rows.groupBy(*keys, "_p", "_q").applyInPandas(cell, "".join(f"{k} string, " for k in keys) + PAIR_SCHEMA).replace(float("nan"), None, ["pearson", "spearman", "cov"])
 
 
 def correlation_p(r: str, n: str) -> Column:
