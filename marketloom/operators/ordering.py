@@ -18,11 +18,21 @@ def value_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
 
 
-def cumulative(counts: DataFrame, by: list[str], value: str, measures: list[str], rows_per_range: int = 1_000_000) -> DataFrame:
+def cumulative(
+    counts: DataFrame, by: list[str], value: str, measures: list[str], rows_per_range: int = 1_000_000, bounded: bool = False
+) -> DataFrame:
     """Adds `<m>_before` (total of m over smaller values) and `<m>_total` for each measure m.
 
-    `counts` holds one row per group and value.
+    `counts` holds one row per group and value. `bounded` says that the key limits the size of a group (a
+    symbol's daily bars): one window per group then does the same with fewer stages.
     """
+    if bounded:
+        below = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return counts.select(
+            *counts.columns,
+            *[F.coalesce(F.sum(m).over(below), F.lit(0)).alias(f"{m}_before") for m in measures],
+            *[F.sum(m).over(Window.partitionBy(*by)).alias(f"{m}_total") for m in measures],
+        )
     grid = [i / RANGES for i in range(1, RANGES)]
     pieces = F.least(F.lit(RANGES), F.ceil(F.col("_distinct") / F.lit(rows_per_range))).cast("int")
     # every branch below reads all measures, so Spark sees one plan and shuffles `counts` once
@@ -62,9 +72,9 @@ def cumulative(counts: DataFrame, by: list[str], value: str, measures: list[str]
     )
 
 
-def positions(df: DataFrame, by: list[str], value: str) -> DataFrame:
+def positions(df: DataFrame, by: list[str], value: str, bounded: bool = False, rows_per_range: int = 1_000_000) -> DataFrame:
     """One row per group and value: n, n_before, n_total and the average rank of the value."""
-    ranked = cumulative(value_counts(df, by, value), by, value, ["n"])
+    ranked = cumulative(value_counts(df, by, value), by, value, ["n"], rows_per_range, bounded)
     return ranked.withColumn("avg_rank", F.col("n_before") + (F.col("n") + 1) / F.lit(2.0))
 
 
@@ -73,9 +83,14 @@ def _at(value: str, k: Column) -> Column:
     return F.max(F.when(hit, F.col(value)))
 
 
-def quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+def quantiles(
+    df: DataFrame, by: list[str], value: str, probs: dict[str, float], bounded: bool = False, rows_per_range: int = 1_000_000
+) -> DataFrame:
     """Exact linearly interpolated quantiles per group: column name -> probability."""
-    pos = positions(df, by, value)
+    if bounded:
+        rows = df.where(F.col(value).isNotNull())
+        return rows.groupBy(*by).agg(*[F.percentile(value, p).alias(name) for name, p in probs.items()])
+    pos = positions(df, by, value, rows_per_range=rows_per_range)
     aggs, outs = [], []
     for name, p in probs.items():
         at = F.lit(p) * (F.col("n_total") - 1)

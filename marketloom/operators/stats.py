@@ -2,7 +2,7 @@
 
 Functions named `profile_*` read daily bars, whose groups the calendar bounds. Everything that takes
 free samples (two-sample tests, ranks, medians) goes through ordering.py and never sorts a whole group
-in one task.
+in one task, unless the caller states with `bounded` that groups are daily bars too.
 """
 
 from __future__ import annotations
@@ -77,7 +77,7 @@ def profile(df: DataFrame, by: str = "symbol") -> DataFrame:
 # --- distribution ----------------------------------------------------------------------------------
 
 
-def describe(df: DataFrame, by: list[str], x: str) -> DataFrame:
+def describe(df: DataFrame, by: list[str], x: str, bounded: bool = False) -> DataFrame:
     """Sample moments and quartiles per group. Skewness and kurtosis carry the small-sample correction."""
     m = df.where(F.col(x).isNotNull()).groupBy(*by).agg(
         F.count(x).alias("n"), F.avg(x).alias("mean"), F.var_samp(x).alias("variance"), F.stddev_samp(x).alias("std_dev"),
@@ -90,7 +90,7 @@ def describe(df: DataFrame, by: list[str], x: str) -> DataFrame:
             "kurtosis": F.when(n > 3, ((n + 1) * F.col("_g2") + 6) * (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0.0))),
         }
     ).drop("_g1", "_g2")
-    q = quantiles(df, by, x, {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    q = quantiles(df, by, x, {"q25": 0.25, "median": 0.5, "q75": 0.75}, bounded)
     return m.join(q, by).withColumn("iqr", F.col("q75") - F.col("q25"))
 
 
@@ -143,13 +143,13 @@ def shapiro_wilk(df: DataFrame, by: list[str], x: str, limit: int = 5000) -> Dat
     return g.withColumn("w_p", normal_tail(z)).select(*by, "n", "w_stat", "w_p")
 
 
-def outliers(df: DataFrame, by: list[str], x: str) -> DataFrame:
+def outliers(df: DataFrame, by: list[str], x: str, bounded: bool = False) -> DataFrame:
     """z_score, robust_z_score (0.6745 (x - median) / MAD) and outlier_class per row."""
     rows = df.where(F.col(x).isNotNull())
     m = rows.groupBy(*by).agg(F.avg(x).alias("_mean"), F.stddev_samp(x).alias("_sd"))
-    med = quantiles(rows, by, x, {"_median": 0.5})
+    med = quantiles(rows, by, x, {"_median": 0.5}, bounded)
     centred = rows.join(med, by).withColumn("_dev", F.abs(F.col(x) - F.col("_median")))
-    mad = quantiles(centred, by, "_dev", {"_mad": 0.5})
+    mad = quantiles(centred, by, "_dev", {"_mad": 0.5}, bounded)
     rz = F.when(F.col("_mad") > 0, 0.6745 * (F.col(x) - F.col("_median")) / F.nullif(F.col("_mad"), F.lit(0.0))).otherwise(0.0)
     out = centred.join(m, by).join(mad, by).withColumn("z_score", div(F.col(x) - F.col("_mean"), "_sd")).withColumn("robust_z_score", rz)
     size = F.abs("robust_z_score")
@@ -293,9 +293,9 @@ def moments(df: DataFrame, by: list[str], label: str, x: str) -> DataFrame:
     )
 
 
-def levene(df: DataFrame, by: list[str], label: str, x: str) -> DataFrame:
+def levene(df: DataFrame, by: list[str], label: str, x: str, bounded: bool = False) -> DataFrame:
     """Levene's test around the medians."""
-    med = quantiles(df, [*by, label], x, {"_median": 0.5})
+    med = quantiles(df, [*by, label], x, {"_median": 0.5}, bounded)
     dev = df.join(med, [*by, label]).withColumn("_z", F.abs(F.col(x) - F.col("_median")))
     g = dev.groupBy(*by, label).agg(F.count("_z").alias("_n"), F.avg("_z").alias("_zm"), (F.var_pop("_z") * F.count("_z")).alias("_ss"))
     t = g.groupBy(*by).agg(
@@ -326,12 +326,12 @@ def t_tests(m: DataFrame) -> DataFrame:
     return m.withColumns({"student_p": t_two_sided("student_t", na + nb - 2), "welch_p": t_two_sided("welch_t", "welch_dof")})
 
 
-def mann_whitney(df: DataFrame, by: list[str], label: str, x: str) -> DataFrame:
+def mann_whitney(df: DataFrame, by: list[str], label: str, x: str, bounded: bool = False) -> DataFrame:
     """U of sample A, two-sided p with tie and continuity corrections, and Cliff's delta."""
     counts = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(
         F.count_if(F.col(label) == "A").alias("na"), F.count(F.lit(1)).alias("n")
     )
-    pos = cumulative(counts, by, x, ["n", "na"])
+    pos = cumulative(counts, by, x, ["n", "na"], bounded=bounded)
     rank = F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)
     n3 = F.col("n").cast("double")
     g = pos.groupBy(*by).agg(
@@ -347,13 +347,15 @@ def mann_whitney(df: DataFrame, by: list[str], label: str, x: str) -> DataFrame:
     return g.withColumn("cliffs_delta", div(2 * F.col("u_stat"), na * nb) - 1).select(*by, "n_a", "n_b", "u_stat", "mw_p", "cliffs_delta")
 
 
-def two_sample(df: DataFrame, by: list[str], label: str, x: str, alpha: float = 0.05, economic: float = 0.2) -> DataFrame:
+def two_sample(
+    df: DataFrame, by: list[str], label: str, x: str, alpha: float = 0.05, economic: float = 0.2, bounded: bool = False
+) -> DataFrame:
     """Picks Student, Welch or Mann-Whitney from the assumptions and states both verdicts. One row per test."""
     rows = df.where(F.col(x).isNotNull()).select(*by, label, x)
     norm = normality(rows, [*by, label], x, alpha).groupBy(*by).agg(F.min(F.col("is_normal")).alias("_normal"))
     t = t_tests(moments(rows, by, label, x)).where((F.col("n_a") >= MIN_SAMPLE) & (F.col("n_b") >= MIN_SAMPLE))
-    mw = mann_whitney(rows, by, label, x).drop("n_a", "n_b")
-    j = t.join(norm, by).join(levene(rows, by, label, x), by).join(mw, by)
+    mw = mann_whitney(rows, by, label, x, bounded).drop("n_a", "n_b")
+    j = t.join(norm, by).join(levene(rows, by, label, x, bounded), by).join(mw, by)
     equal = F.col("levene_p") >= alpha
     pick = lambda s, w, m: F.when(~F.col("_normal"), m).when(equal, s).otherwise(w)
     out = j.withColumns(
@@ -384,14 +386,14 @@ def eda_report(df: DataFrame, market_macro: DataFrame | None = None, indicators:
     """One JSON document per symbol: coverage, profile, distribution, tests, correlations, macro, hypothesis."""
     rows = df.where(F.col("log_return").isNotNull())
     prof = profile(df, by)
-    dist = describe(rows, [by], "log_return").join(jarque_bera(rows, [by], "log_return").drop("n"), by)
+    dist = describe(rows, [by], "log_return", bounded=True).join(jarque_bera(rows, [by], "log_return").drop("n"), by)
     pairs = pairwise_correlations(df, by=by)
     partners = F.explode(F.array(F.struct(F.col("a").alias(by), F.col("b").alias("other")), F.struct(F.col("b").alias(by), F.col("a").alias("other"))))
     # ten strongest partners: the map side prunes to ten rows per symbol, so the list is bounded
     ranked = pairs.select(partners.alias("k"), "pearson_r", "n").select("k.*", "pearson_r", "n").where(F.col("pearson_r").isNotNull())
     w = Window.partitionBy(by).orderBy(F.desc(F.abs("pearson_r")), "other")
     corr = ranked.withColumn("_rn", F.row_number().over(w)).where("_rn <= 10").groupBy(by).agg(F.sort_array(F.collect_list(F.struct("_rn", "other", "pearson_r", "n"))).alias("strongest"))
-    hyp = two_sample(regime_samples(df, by), [by], "sample", "log_return")
+    hyp = two_sample(regime_samples(df, by), [by], "sample", "log_return", bounded=True)
     doc = prof.select(by, F.struct(*[c for c in prof.columns if c != by]).alias("returns"))
     doc = doc.join(dist.select(by, F.struct(*[c for c in dist.columns if c != by]).alias("distribution")), by, "left")
     doc = doc.join(corr.withColumnRenamed("strongest", "correlation"), by, "left")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions.textclean import unescape_nfkc
+from marketloom.session import materialize
 
 # Sentiment words, ambiguous names, the small knowledge base and the topic patterns.
 POSITIVE_WORDS = ["surge", "jump", "growth", "profit", "beat", "up"]
@@ -76,16 +77,22 @@ def sentiment(df: DataFrame, text: str, positive: list[str] = POSITIVE_WORDS, ne
     )
 
 
-def entities(df: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
-    """Dictionary names found as capitalised words: one row per article, name and label.
+def capitalised_words(text: str) -> Column:
+    """Distinct capitalised words of a text."""
+    return F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"(?U)\b[A-Z][a-z]+\b"), F.lit(0)))
 
-    dictionary: term, label. Words are made distinct inside the row before they are exploded.
-    """
-    words = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"(?U)\b[A-Z][a-z]+\b"), F.lit(0)))
+
+def match_words(df: DataFrame, key: str, words: str, dictionary: DataFrame) -> DataFrame:
+    """Dictionary names (term, label) among the words: one row per article, name and label."""
     found = df.select(key, F.explode(words).alias("term"))
     return found.join(dictionary, "term").select(key, F.col("term").alias("text"), "label").distinct()
 
 
+def entities(df: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
+    """Dictionary names found as capitalised words. Words are made distinct inside the row before they are exploded."""
+    return match_words(df.select(key, capitalised_words(text).alias("words")), key, "words", dictionary)
+
+
 def resolve(found: DataFrame, key: str, knowledge: DataFrame, ambiguous: list[str] = AMBIGUOUS_NAMES) -> DataFrame:
     """Canonical names per article with their aliases; ambiguous and unknown names stay unresolved.
 
@@ -118,14 +125,39 @@ def entity_quality(resolved: DataFrame, key: str) -> DataFrame:
     )
 
 
-def topics(df: DataFrame, key: str, text: str, taxonomy: dict[str, list[str]] = TOPIC_PATTERNS) -> DataFrame:
-    """(article, topic, hits, score) for topics with a hit; the patterns are counted in one pass over each text."""
+def topic_hits(text: str, taxonomy: dict[str, list[str]]) -> Column:
+    """Array of (topic_name, hits): the patterns of a topic are counted over the whole text."""
     hits = lambda ps: sum((F.regexp_count(F.col(text), F.lit("(?iU)" + p)) for p in ps), F.lit(0))
-    scored = F.array(*[F.struct(F.lit(t).alias("topic_name"), hits(ps).alias("hits")) for t, ps in taxonomy.items()])
-    rows = df.where(F.col(text).isNotNull()).select(key, F.explode(scored).alias("t")).select(key, "t.*").where("hits > 0")
+    return F.array(*[F.struct(F.lit(t).alias("topic_name"), hits(ps).alias("hits")) for t, ps in taxonomy.items()])
+
+
+def scored_topics(df: DataFrame, key: str, hits: str) -> DataFrame:
+    """(article, topic, hits, score) for topics with a hit."""
+    rows = df.where(F.col(hits).isNotNull()).select(key, F.explode(hits).alias("t")).select(key, "t.*").where("hits > 0")
     return rows.withColumn("topic_score", F.round(F.least(F.col("hits") / 3.0, F.lit(1.0)), 2))
 
 
+def topics(df: DataFrame, key: str, text: str, taxonomy: dict[str, list[str]] = TOPIC_PATTERNS) -> DataFrame:
+    return scored_topics(df.where(F.col(text).isNotNull()).select(key, topic_hits(text, taxonomy).alias("_hits")), key, "_hits")
+
+
+def annotate(articles: DataFrame, taxonomy: dict[str, list[str]], positive: list[str], negative: list[str]) -> DataFrame:
+    """Everything read off a text in one pass, without the text: gate, sentiment, words, topic hits.
+
+    Written once, so that the tables derived from it do not read and clean the texts again.
+    """
+    if "description" not in articles.columns:
+        articles = articles.withColumn("description", F.lit(None).cast("string"))
+    gated = articles.withColumn("raw_text", choose_text()).withColumn("gate", text_gate("raw_text"))
+    clean = gated.withColumn("clean_text", F.when(F.col("gate") == "ok", normalize("raw_text")))
+    rows = sentiment(clean, "clean_text", positive, negative).select(
+        "article_id", "published_at", "gate", "sentiment_label", "sentiment_score", "confidence",
+        F.when(F.col("gate") == "ok", capitalised_words("clean_text")).alias("words"),
+        F.when(F.col("gate") == "ok", topic_hits("clean_text", taxonomy)).alias("topic_hits"),
+    )
+    return materialize(rows, "annotated")
+
+
 def main_topic(found: DataFrame, key: str) -> DataFrame:
     """Highest score, ties by name."""
     return found.groupBy(key).agg(F.min_by("topic_name", F.struct(-F.col("topic_score"), "topic_name")).alias("topic"))
@@ -135,17 +167,13 @@ def nlp_batch(articles: DataFrame, done: DataFrame, dictionary: DataFrame, knowl
               positive: list[str] = POSITIVE_WORDS, negative: list[str] = NEGATIVE_WORDS) -> dict[str, DataFrame]:
     """Output tables for the articles that have no sentiment of this model version yet.
 
-    articles: article_id, title, content (and description if present). done: article_id, model_version.
+    articles: article_id, published_at, title, content (and description if present). done: article_id, model_version.
     """
-    if "description" not in articles.columns:
-        articles = articles.withColumn("description", F.lit(None).cast("string"))
     todo = articles.join(done.where(F.col("model_version") == model_version).select("article_id"), "article_id", "left_anti")
-    gated = todo.withColumn("raw_text", choose_text()).withColumn("gate", text_gate("raw_text"))
-    clean = gated.withColumn("clean_text", F.when(F.col("gate") == "ok", normalize("raw_text")))
-    feel = sentiment(clean, "clean_text").select("article_id", "gate", "sentiment_label", "sentiment_score", "confidence", F.lit(model_version).alias("model_version"))
-    usable = clean.where(F.col("gate") == "ok")
-    ents = resolve(entities(usable, "article_id", "clean_text", dictionary), "article_id", knowledge)
-    return {"sentiment": feel, "entities": ents, "topics": topics(usable, "article_id", "clean_text", taxonomy)}
+    seen = annotate(todo, taxonomy, positive, negative)
+    feel = seen.select("article_id", "gate", "sentiment_label", "sentiment_score", "confidence", F.lit(model_version).alias("model_version"))
+    ents = resolve(match_words(seen, "article_id", "words", dictionary), "article_id", knowledge)
+    return {"sentiment": feel, "entities": ents, "topics": scored_topics(seen, "article_id", "topic_hits")}
 
 
 def batch_record(out: dict[str, DataFrame], run_id: str) -> DataFrame:

@@ -35,7 +35,7 @@ ASOF LEFT JOIN (SELECT * FROM events WHERE event_type IN ('view', 'click')) r ON
 def join_02(spark, sf):
     seen = typed_events(spark, sf, "view").unionByName(typed_events(spark, sf, "click"))
     feature = seen.select("user_id", F.col("ts").alias("available_at"), F.col("value").alias("feature")).withColumn("_at", F.col("available_at"))
-    out = asof_join(typed_events(spark, sf, "purchase").drop("value"), feature, ["user_id"], "ts", "_at", ["feature", "available_at"], bucket="day")
+    out = asof_join(typed_events(spark, sf, "purchase").drop("value"), feature, ["user_id"], "ts", "_at", ["feature", "available_at"], bucket="hour")
     return out.select("event_id", "user_id", "ts", "feature", "available_at")
 
 

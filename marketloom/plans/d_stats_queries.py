@@ -113,7 +113,7 @@ def lr(spark, sf):
     ),
 )
 def agg_06(spark, sf):
-    df = S.describe(lr(spark, sf), ["symbol"], "log_return")
+    df = S.describe(lr(spark, sf), ["symbol"], "log_return", bounded=True)
     eight = [c for c in ("mean", "median", "std_dev", "min", "max", "q25", "q75", "iqr")]
     return df.select("symbol", "n", *[rnd(c, 8).alias(c) for c in eight], rnd("variance", 10).alias("variance"), rnd("skewness").alias("skewness"), rnd("kurtosis").alias("kurtosis"))
 
@@ -125,7 +125,7 @@ cls AS (SELECT *, CASE WHEN abs(rz) >= 3 THEN 'extreme' WHEN abs(rz) >= 2 THEN '
 
 @query("agg_07", sql(RETURNS, RET, OUT, "SELECT symbol, outlier_class, count(*) AS n FROM cls GROUP BY 1, 2"))
 def agg_07(spark, sf):
-    return prepare.class_counts(S.outliers(lr(spark, sf), ["symbol"], "log_return"), ["symbol"], "outlier_class")
+    return prepare.class_counts(S.outliers(lr(spark, sf), ["symbol"], "log_return", bounded=True), ["symbol"], "outlier_class")
 
 
 JB = "count(*) / 6.0::DOUBLE * (power(sk, 2) + power(ku, 2) / 4)"
@@ -149,12 +149,12 @@ def stat_07(spark, sf):
 
 @query("stat_08", sql(RETURNS, RET, OUT, f"SELECT symbol, CAST(ts AS VARCHAR) AS ts, {r('z_score')} AS z_score, {r('rz')} AS robust_z_score FROM cls"))
 def stat_08(spark, sf):
-    return pick(S.outliers(lr(spark, sf), ["symbol"], "log_return"), ["symbol", "ts"], ["z_score", "robust_z_score"])
+    return pick(S.outliers(lr(spark, sf), ["symbol"], "log_return", bounded=True), ["symbol", "ts"], ["z_score", "robust_z_score"])
 
 
 @query("stat_09", sql(RETURNS, RET, OUT, f"SELECT symbol, CAST(ts AS VARCHAR) AS ts, outlier_class, {r('rz')} AS robust_z_score FROM cls WHERE outlier_class <> 'normal' ORDER BY abs(rz) DESC"))
 def stat_09(spark, sf):
-    df = S.outliers(lr(spark, sf), ["symbol"], "log_return").where(F.col("outlier_class") != "normal")
+    df = S.outliers(lr(spark, sf), ["symbol"], "log_return", bounded=True).where(F.col("outlier_class") != "normal")
     return df.orderBy(F.desc(F.abs("robust_z_score"))).select("symbol", "ts", "outlier_class", rnd("robust_z_score").alias("robust_z_score"))
 
 
@@ -275,7 +275,7 @@ lv AS (SELECT a.symbol, a.n + b.n AS nn, (a.n * power(a.zm - (a.n * a.zm + b.n *
 
 @query("stat_17", sql(RETURNS, VOL60, SAMPLES, LEVENE, f"SELECT symbol, {r('f', 5)} AS levene_stat, {r(t_p('sqrt(f)', 'nn - 2'))} AS levene_p FROM lv"))
 def stat_17(spark, sf):
-    df = S.levene(samples(spark, sf), ["symbol"], "sample", "log_return")
+    df = S.levene(samples(spark, sf), ["symbol"], "sample", "log_return", bounded=True)
     return df.select("symbol", rnd("levene_stat", 5).alias("levene_stat"), rnd("levene_p").alias("levene_p"))
 
 
@@ -299,7 +299,7 @@ mz AS (SELECT *, (greatest(u, na * nb - u) - na * nb / 2.0::DOUBLE - 0.5::DOUBLE
 
 @query("stat_19", sql(RETURNS, VOL60, SAMPLES, MW, f"SELECT symbol, na AS n_a, nb AS n_b, {r('u', 2)} AS u_stat, {r(z_p('z'))} AS mw_p FROM mz"))
 def stat_19(spark, sf):
-    df = S.mann_whitney(samples(spark, sf), ["symbol"], "sample", "log_return")
+    df = S.mann_whitney(samples(spark, sf), ["symbol"], "sample", "log_return", bounded=True)
     return df.select("symbol", "n_a", "n_b", rnd("u_stat", 2).alias("u_stat"), rnd("mw_p").alias("mw_p"))
 
 
@@ -307,7 +307,7 @@ def stat_19(spark, sf):
 def stat_20(spark, sf):
     rows = samples(spark, sf)
     d = S.t_tests(S.moments(rows, ["symbol"], "sample", "log_return")).select("symbol", "cohens_d")
-    m = S.mann_whitney(rows, ["symbol"], "sample", "log_return").select("symbol", "cliffs_delta")
+    m = S.mann_whitney(rows, ["symbol"], "sample", "log_return", bounded=True).select("symbol", "cliffs_delta")
     return pick(d.join(m, "symbol"), ["symbol"], ["cohens_d", "cliffs_delta"])
 
 
@@ -315,13 +315,13 @@ def stat_20(spark, sf):
 def stat_21(spark, sf):
     """Odd against even days: samples that should not differ."""
     rows = lr(spark, sf).withColumn("sample", F.when(F.day("ts") % 2 == 1, "A").otherwise("B"))
-    df = S.two_sample(rows, ["symbol"], "sample", "log_return")
+    df = S.two_sample(rows, ["symbol"], "sample", "log_return", bounded=True)
     return df.withColumns({"p_value": rnd("p_value"), "effect_size_value": rnd("effect_size_value")})
 
 
 @query("stat_22")
 def stat_22(spark, sf):
-    df = S.two_sample(samples(spark, sf), ["symbol"], "sample", "log_return")
+    df = S.two_sample(samples(spark, sf), ["symbol"], "sample", "log_return", bounded=True)
     return df.withColumns({"p_value": rnd("p_value"), "effect_size_value": rnd("effect_size_value")})
 
 

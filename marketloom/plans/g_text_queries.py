@@ -24,10 +24,6 @@ def knowledge(spark):
     return spark.createDataFrame([(t.lower(), f"{s} Corp", s) for t, s in TERMS.items() if t != "Is"], "name string, canonical_name string, ticker string")
 
 
-def short(spark, sf):
-    return V.news(spark, sf)
-
-
 CHOSEN = NEWS + ",\nch AS (SELECT article_id, CASE WHEN article_id % 4 = 0 THEN CASE WHEN article_id % 8 = 0 THEN substr(title, 1, 40) ELSE url END ELSE content END AS t FROM news)"
 
 
@@ -58,6 +54,7 @@ def _present(words):
     return " + ".join(f"CAST(contains(lower(content), '{w}') AS INTEGER)" for w in words)
 
 
+LONG = "length(trim(content, E' \\t\\n\\r')) >= 50"
 FEEL = f"feel AS (SELECT article_id, published_at, ({_present(POSITIVE)}) - ({_present(NEGATIVE)}) AS d FROM news),\nsent AS (SELECT article_id, CASE WHEN d > 0 THEN 'POSITIVE' WHEN d < 0 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS sentiment_label, CASE WHEN d > 0 THEN 0.8::DOUBLE WHEN d < 0 THEN -0.8::DOUBLE ELSE 0.0::DOUBLE END AS sentiment_score FROM feel)"
 
 
@@ -170,21 +167,30 @@ FWD = "fw AS (" + " UNION ALL ".join(
 EVENTS = """ev AS (SELECT a.article_id, r.canonical_entity_id AS entity_id, a.published_at, a.rel, s.sentiment_label AS sentiment, m.topic, a.target, CAST(f.h AS VARCHAR) || 'd' AS horizon, f.ret, f.vol, b.ret AS bench, f.ret - b.ret AS abnormal
   FROM aligned a JOIN res r ON a.article_id = r.article_id AND r.canonical_entity_id IS NOT NULL LEFT JOIN sent s ON a.article_id = s.article_id LEFT JOIN main m ON a.article_id = m.article_id
   JOIN fw f ON f.symbol = r.canonical_entity_id AND f.ts = a.target AND f.ret IS NOT NULL LEFT JOIN fw b ON b.symbol = 'ECONOMY' AND b.ts = a.target AND b.h = f.h)"""
-EVENT_CTES = (NEWS, FOUND, RESOLVED, FEEL, TOPICS, HOLIDAY, ALIGNED, RETURNS, FWD, EVENTS)
+# Short texts carry no entities, topics or sentiment.
+FOUND_OK = FOUND.replace("FROM news)", f"FROM news WHERE {LONG})")
+TOPICS_OK = TOPICS.replace(" AS hits FROM news", f" AS hits FROM news WHERE {LONG}")
+FEEL_OK = FEEL.replace("SELECT article_id, published_at, (", f"SELECT article_id, published_at, CASE WHEN {LONG} THEN 1 ELSE 0 END * ((", 1).replace(") AS d FROM news", ")) AS d FROM news", 1)
+EVENT_CTES = (NEWS, FOUND_OK, RESOLVED, FEEL_OK, TOPICS_OK, HOLIDAY, ALIGNED, RETURNS, FWD, EVENTS)
 
 
-def joined(spark, sf):
-    n = V.news(spark, sf)
-    feel = T.sentiment(n, "content", POSITIVE, NEGATIVE).where("article_id % 10 <> 0")
-    return E.article_rows(n.select("article_id", "published_at"), resolved(spark, sf), feel)
+def annotated(spark, sf):
+    return T.annotate(V.news(spark, sf).withColumn("title", F.lit(None).cast("string")), TAXONOMY, POSITIVE, NEGATIVE)
 
 
-def market_events(spark, sf, existing=None, sentiments=True):
-    n = V.news(spark, sf)
-    feel = T.sentiment(n, "content", POSITIVE, NEGATIVE)
-    rows = E.article_rows(n.select("article_id", "published_at"), resolved(spark, sf), feel)
-    main = T.main_topic(T.topics(n, "article_id", "content", TAXONOMY), "article_id")
-    return E.build_events(rows, main, calendar(spark), V.returns(spark, sf), V.BENCHMARK, [1, 5, 20], existing)
+def tickers(spark, seen):
+    return T.resolve(T.match_words(seen, "article_id", "words", dictionary(spark)), "article_id", knowledge(spark), ["to"])
+
+
+def main_topics(seen):
+    return T.main_topic(T.scored_topics(seen, "article_id", "topic_hits"), "article_id")
+
+
+def market_events(spark, sf, existing=None):
+    """Texts are read once; the events come from the stored annotations."""
+    seen = annotated(spark, sf)
+    rows = E.article_rows(seen.select("article_id", "published_at"), tickers(spark, seen), seen)
+    return E.build_events(rows, main_topics(seen), calendar(spark), V.returns(spark, sf), V.BENCHMARK, [1, 5, 20], existing)
 
 
 @query(
@@ -203,9 +209,11 @@ def evt_03(spark, sf):
     return df.select("article_id", "entity_id", "published_at", "market_session_relation", "sentiment", "topic", "market_observation_start", "horizon", *[rnd(c, 8).alias(c) for c in cols])
 
 
-@query("join_09", sql(NEWS, FOUND, RESOLVED, FEEL, "SELECT n.article_id, CAST(n.published_at AS VARCHAR) AS published_at, r.canonical_entity_id AS entity_id, CASE WHEN n.article_id % 10 <> 0 THEN s.sentiment_label END AS sentiment_label FROM news n JOIN res r ON n.article_id = r.article_id AND r.canonical_entity_id IS NOT NULL LEFT JOIN sent s ON s.article_id = n.article_id"))
+@query("join_09", sql(NEWS, FOUND_OK, RESOLVED, FEEL_OK, "SELECT n.article_id, CAST(n.published_at AS VARCHAR) AS published_at, r.canonical_entity_id AS entity_id, CASE WHEN n.article_id % 10 <> 0 THEN s.sentiment_label END AS sentiment_label FROM news n JOIN res r ON n.article_id = r.article_id AND r.canonical_entity_id IS NOT NULL LEFT JOIN sent s ON s.article_id = n.article_id"))
 def join_09(spark, sf):
-    return joined(spark, sf).select("article_id", "published_at", "entity_id", "sentiment_label")
+    seen = annotated(spark, sf)
+    rows = E.article_rows(seen.select("article_id", "published_at"), tickers(spark, seen), seen.where("article_id % 10 <> 0"))
+    return rows.select("article_id", "published_at", "entity_id", "sentiment_label")
 
 
 @query("join_10", sql(NEWS, "SELECT article_id, CAST(published_at AS VARCHAR) AS published_at FROM news WHERE article_id % 3 <> 0 ORDER BY news.published_at, article_id LIMIT 100"))
@@ -231,13 +239,11 @@ def join_11(spark, sf):
     return seen.unionByName(J.unprocessed(new, old, ["hash"]).withColumn("seen", F.lit(False))).select("article_id", "seen")
 
 
-@query("join_13", sql(NEWS, FEEL, TOPICS, "SELECT n.article_id, s.sentiment_label, m.topic FROM news n LEFT JOIN sent s USING (article_id) LEFT JOIN main m USING (article_id)"))
+@query("join_13", sql(NEWS, FEEL_OK, TOPICS_OK, "SELECT n.article_id, s.sentiment_label, m.topic FROM news n LEFT JOIN sent s USING (article_id) LEFT JOIN main m USING (article_id)"))
 def join_13(spark, sf):
-    n = V.news(spark, sf)
-    feel = T.sentiment(n, "content", POSITIVE, NEGATIVE).select("article_id", "sentiment_label", "sentiment_score")
-    first = J.first_per_key(feel, ["article_id"], [F.desc("sentiment_score")]).select("article_id", "sentiment_label")
-    main = T.main_topic(T.topics(n, "article_id", "content", TAXONOMY), "article_id")
-    return n.select("article_id").join(first, "article_id", "left").join(main, "article_id", "left")
+    seen = annotated(spark, sf)
+    first = J.first_per_key(seen.select("article_id", "sentiment_label", "sentiment_score"), ["article_id"], [F.desc("sentiment_score")])
+    return seen.select("article_id").join(first.drop("sentiment_score"), "article_id", "left").join(main_topics(seen), "article_id", "left")
 
 
 REL1 = """pol AS (SELECT horizon, CASE sentiment WHEN 'POSITIVE' THEN 1.0::DOUBLE WHEN 'NEGATIVE' THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS p, abnormal AS x FROM ev WHERE sentiment IS NOT NULL AND abnormal IS NOT NULL),

@@ -7,11 +7,10 @@ from marketloom.operators import monitor as N
 from marketloom.operators import prepare
 from marketloom.operators import research as S
 from marketloom.operators import risk as R
-from marketloom.operators import text as T
 from marketloom.operators import validate as Q
 from marketloom.plans.c_join_queries import AROUND, PREDICTIONS, predictions
 from marketloom.plans.f_ingest_queries import DEFECTIVE, UPSERTED, defective, later_bars
-from marketloom.plans.g_text_queries import FEEL, FOUND, NEGATIVE, POSITIVE, RESOLVED, TAXONOMY, TOPICS, resolved
+from marketloom.plans.g_text_queries import FEEL_OK, FOUND_OK, RESOLVED, TOPICS_OK, annotated, main_topics, tickers
 from marketloom.plans.h_model_queries import FEATS, dataset
 from marketloom.plans.registry import query
 from marketloom.plans.sqlviews import MARKET, NEWS, RETURNS, r, sql
@@ -223,27 +222,27 @@ tq AS (SELECT entity_id, CAST(prediction_time AS TIMESTAMP) AS t, 'MODEL PREDICT
 @query(
     "agg_10",
     sql(
-        NEWS, FOUND, RESOLVED, RETURNS, PREDICTIONS, TIMELINE,
+        NEWS, FOUND_OK, RESOLVED, RETURNS, PREDICTIONS, TIMELINE,
         """SELECT entity_id, CAST(t AS VARCHAR) AS event_time, type, description, source_id FROM tn WHERE k <= 20
 UNION ALL SELECT symbol, CAST(t AS VARCHAR), type, description, source_id FROM tm WHERE k <= 5 UNION ALL SELECT entity_id, CAST(t AS VARCHAR), type, description, source_id FROM tq WHERE k <= 5""",
     ),
 )
 def agg_10(spark, sf):
-    n = V.news(spark, sf).join(entity_articles(spark, sf), "article_id")
+    n = V.news(spark, sf).join(entity_articles(spark, annotated(spark, sf)), "article_id")
     p = predictions(spark, sf).withColumnRenamed("model_version", "model_name")
     out = prepare.timeline(n, V.returns(spark, sf), p, at(CUT))
     return out.withColumn("description", F.sha2("description", 256))
 
 
-def entity_articles(spark, sf):
-    return resolved(spark, sf).where("canonical_entity_id IS NOT NULL").select("article_id", F.col("canonical_entity_id").alias("entity_id")).distinct()
+def entity_articles(spark, seen):
+    return tickers(spark, seen).where("canonical_entity_id IS NOT NULL").select("article_id", F.col("canonical_entity_id").alias("entity_id")).distinct()
 
 
 def assessments(spark, sf, cut):
-    n = V.news(spark, sf)
-    arts = n.select("article_id", "published_at").join(entity_articles(spark, sf), "article_id")
-    feel = T.sentiment(n, "content", POSITIVE, NEGATIVE).select("article_id", "sentiment_label")
-    main = T.main_topic(T.topics(n, "article_id", "content", TAXONOMY), "article_id")
+    seen = annotated(spark, sf)
+    arts = seen.select("article_id", "published_at").join(entity_articles(spark, seen), "article_id")
+    feel = seen.select("article_id", "sentiment_label")
+    main = main_topics(seen)
     p = predictions(spark, sf)
     why = p.where("model_version = 'm1'").select("prediction_id", F.create_map(F.lit("volume"), F.col("prediction") / 2).alias("attributions"))
     rets = V.returns(spark, sf).where(F.col("ts") <= F.to_date(at(cut)))
@@ -252,7 +251,7 @@ def assessments(spark, sf, cut):
     m = tail.join(vol, "symbol").join(R.max_drawdown(rets, ["symbol"], "ts", "daily_return"), "symbol")
     m = m.withColumns({"historical_cvar": F.col("cvar"), "cvar_99": F.lit(0.0), "top_3_risk_concentration": F.lit(0.0)})
     risk = R.classify(m).select(F.col("symbol").alias("entity_id"), "classification", F.col("var").alias("var_95"), F.col("cvar").alias("cvar_95"))
-    by_label = n.join(feel, "article_id").where(F.col("published_at") <= at(cut)).groupBy("sentiment_label").agg(F.max("published_at").alias("created_at"), F.count(F.lit(1)).alias("c"))
+    by_label = seen.where(F.col("published_at") <= at(cut)).groupBy("sentiment_label").agg(F.max("published_at").alias("created_at"), F.count(F.lit(1)).alias("c"))
     finds = by_label.select("created_at", F.format_string("%s articles: %d", "sentiment_label", "c").alias("finding"))
     return I.assess(p.select("entity_id"), arts, feel, main, p, why, finds, risk, at(cut))
 
@@ -269,7 +268,7 @@ rc AS (SELECT symbol, abs(avg(daily_return) FILTER (WHERE daily_return <= v)) AS
 @query(
     "int_01",
     sql(
-        NEWS, FOUND, RESOLVED, FEEL, TOPICS, RETURNS, PREDICTIONS, TIMELINE, ASSESS,
+        NEWS, FOUND_OK, RESOLVED, FEEL_OK, TOPICS_OK, RETURNS, PREDICTIONS, TIMELINE, ASSESS,
         """SELECT p.entity_id, q.model_version, printf('Predicted return is %.4f', q.prediction) AS prediction_text, q.model_version = 'm1' AS has_explanation, coalesce(n, 0) AS recent_articles, coalesce(pos, 0) AS positive, coalesce(neg, 0) AS negative,
   coalesce(topics, '') AS topics, CASE WHEN dd > 0.4 THEN 'CRITICAL' WHEN dd > 0.2 OR es > 0.05 THEN 'HIGH' WHEN vol > 0.15 OR es > 0.02 THEN 'MODERATE' ELSE 'LOW' END AS risk_classification, (SELECT CAST(count(DISTINCT sentiment_label) AS INTEGER) FROM sent JOIN news USING (article_id) WHERE published_at <= TIMESTAMP '"""
         + CUT + """') AS findings

@@ -14,6 +14,8 @@ def scratch_root(spark: SparkSession) -> str:
     """Shared folder named by the cluster; a private one only where none is set."""
     root = spark.conf.get(CHECKPOINT_KEY, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{CHECKPOINT_KEY} must name a shared folder on a cluster")
         root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.conf.set(CHECKPOINT_KEY, root)
     return root.rstrip("/")
