@@ -83,9 +83,9 @@ def feat_06(spark, sf):
     return out(X.technical(V.market_prices(spark, sf)), ["dist_from_rolling_high_252d", "dist_from_rolling_low_252d"])
 
 
-@query("feat_07", market_sql(*[f"{r(f'close - {lag(n)}')} AS mom_{n}d" for n in (20, 60, 120)]))
+@query("feat_07", market_sql(*[f"close - {lag(n)} AS mom_{n}d" for n in (20, 60, 120)]))
 def feat_07(spark, sf):
-    return out(X.technical(V.market_prices(spark, sf)), [f"mom_{n}d" for n in (20, 60, 120)], 6)
+    return X.technical(V.market_prices(spark, sf)).select("symbol", "ts", *[f"mom_{n}d" for n in (20, 60, 120)])
 
 
 def ret_sql(*exprs, extra=(), table="returns"):

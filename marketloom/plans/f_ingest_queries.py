@@ -201,7 +201,7 @@ def snk_04(spark, sf):
     "snk_05",
     sql(
         RETURNS,
-        f"""SELECT symbol, CAST(ts AS VARCHAR) AS original_timestamp, 'v1.0' AS dataset_version, {r('CASE WHEN ts >= DATE ' + chr(39) + '2000-01-01' + chr(39) + ' THEN close * 2 ELSE close END', 6)} AS close,
+        f"""SELECT symbol, CAST(ts AS VARCHAR) AS original_timestamp, 'v1.0' AS dataset_version, CASE WHEN ts >= DATE '2000-01-01' THEN close * 2 ELSE close END AS close,
   volume, {r('log_return', 8)} AS log_return FROM returns""",
     ),
 )
@@ -210,7 +210,7 @@ def snk_05(spark, sf):
     rows = V.returns(spark, sf).select("symbol", F.col("ts").alias("original_timestamp"), F.lit("v1.0").alias("dataset_version"), "close", "volume", "log_return")
     new = rows.where(F.col("original_timestamp") >= F.lit("2000-01-01").cast("date")).withColumns({"close": F.col("close") * 2, "volume": F.col("volume") + 99})
     out = K.keyed_upsert(rows, new, ["symbol", "original_timestamp", "dataset_version"], ["close", "log_return"])
-    return out.withColumns({"close": rnd("close"), "log_return": rnd("log_return", 8)})
+    return out.withColumn("log_return", rnd("log_return", 8))
 
 
 @query(

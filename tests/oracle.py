@@ -90,6 +90,7 @@ def main(argv):
         if status not in ("ok", "rows-only"):
             bad += 1
         print(f"{name:10s} {status:10s} spark {ts:5.1f}s sql {td:5.1f}s {note}", flush=True)
+        spark.catalog.clearCache()
     print("failures:", bad)
     spark.stop()
     return bad
