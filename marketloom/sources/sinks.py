@@ -80,6 +80,6 @@ def write_feature_store(long: DataFrame, path: str) -> None:
     long.write.mode("append").partitionBy("feature_set").parquet(path)
 
 
-def write_reports(reports: DataFrame, path: str, by: str = "symbol") -> None:
-    """One JSON document per line, in one folder per symbol."""
-    reports.select(by, "payload").write.mode("overwrite").partitionBy(by).text(path)
+def write_reports(reports: DataFrame, path: str) -> None:
+    """JSON lines, one document per entity; the entity is a field of the document, not a folder."""
+    reports.select("payload").write.mode("overwrite").text(path)

@@ -31,10 +31,11 @@ def validate_stream(stream: DataFrame, check: Callable[[DataFrame], DataFrame],
     """Splits each micro-batch into two tables. A repeated batch rewrites its own folder, so rows never double."""
 
     def split(batch: DataFrame, epoch: int) -> None:
-        checked = check(batch)
+        checked = check(batch).persist()
         ok = is_valid()
         checked.where(ok).drop("findings", "scope").write.mode("overwrite").parquet(f"{valid_path}/batch={epoch}")
         checked.where(~ok).write.mode("overwrite").parquet(f"{reject_path}/batch={epoch}")
+        checked.unpersist()
 
     return stream.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
