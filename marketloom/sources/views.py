@@ -27,6 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Shares out a source with fewer file splits than cores, for work that is heavy per row.
+
+    Few splits also means little data (at most one split size per core), so this shuffle stays small; a
+    large source is read as it lies.
+    """
+    few = df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(key) if few else df
+
+
 def _bars(spark: SparkSession, sf_dir: str, symbol: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate", "l_extendedprice", "l_quantity")
     parts = table(spark, sf_dir, "part").select("p_partkey", symbol)
@@ -133,7 +143,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id")
     od = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("d"))
     hours = F.make_dt_interval(F.lit(0), F.pmod(F.col("doc_id") * 7, F.lit(24)).cast("int"))
     return docs.join(od, F.col("doc_id") == F.col("o_orderkey")).select(
