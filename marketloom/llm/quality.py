@@ -47,14 +47,14 @@ def with_features(docs: DataFrame, text: str = "text", out: str = "quality") ->
     df = held(df, F.transform(F.array_remove(F.split(F.col(t), f"[{BLANKS}]+"), ""), lambda w: F.xxhash64(w)), f"{q}w")
     df = held(df, F.filter(F.split(F.col(t), "\n", -1), lambda x: F.regexp_like(x, F.lit(WORD))), f"{q}l")
     w = F.col(f"{q}w")
-    windows = F.transform(
-        F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))),
-        lambda a, i: F.struct(F.xxhash64(a, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")),
-    )
-    df = held(df, F.sort_array(windows), f"{q}s")
+    hashes = F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))), lambda a, i: F.xxhash64(a, F.get(w, i + 1), F.get(w, i + 2)))
+    df = held(df, hashes, f"{q}h")
+    h = F.col(f"{q}h")
+    placed = F.when(F.size(F.array_distinct(h)) < F.size(h), F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))))
+    df = held(df, placed, f"{q}s")
     s = F.col(f"{q}s")
     pairs = F.zip_with(s, F.slice(s, F.lit(2), F.greatest(F.size(s) - 1, F.lit(0))), lambda a, b: F.when(a.h == b.h, F.array(a.i, b.i)))
-    starts = F.sort_array(F.array_distinct(F.flatten(F.filter(pairs, lambda x: x.isNotNull()))))
+    starts = F.coalesce(F.sort_array(F.array_distinct(F.flatten(F.filter(pairs, lambda x: x.isNotNull())))), F.array().cast("array<int>"))
     covered = F.aggregate(
         starts,
         F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n")),
@@ -62,17 +62,18 @@ def with_features(docs: DataFrame, text: str = "text", out: str = "quality") ->
         lambda acc: acc.n,
     )
     lines = F.col(f"{q}l")
-    without = lambda chars: F.length(F.col(t)) - F.length(F.translate(F.col(t), chars, ""))
+    without = lambda chars: F.length(F.regexp_replace(F.col(t), f"[{chars}]+", ""))
+    count = lambda chars: (F.length(F.col(t)) - without(chars)).cast("long")
     features = F.struct(
         F.size(w).cast("long").alias("n_words"),
-        F.length(F.translate(F.col(t), BLANKS, "")).cast("long").alias("word_chars"),
-        without("#*$%&|<>").cast("long").alias("n_symbols"),
+        without(BLANKS).cast("long").alias("word_chars"),
+        count("#*$%&|<>").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
         F.size(lines).cast("long").alias("n_lines"),
         F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
-        without("ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ").cast("long").alias("n_upper"),
-        without("!?*|#").cast("long").alias("n_marks"),
+        count("A-ZÀ-ÖØ-Þ").alias("n_upper"),
+        count("!?*|#").alias("n_marks"),
     )
     return held(df.drop(out), features, out).select(*[F.col(f"`{c}`") for c in docs.columns if c != out], out)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import quality, sharding
+from marketloom.llm import bpe, quality, sharding
 from marketloom.llm.common import table
 
 
@@ -24,8 +24,32 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.histogram_sort(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    return token_digests(bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary_json(vocabulary)))
+
+
+def vocabulary_json(path: str | None = None) -> str:
+    """The tokenizer file at `path`, by default the public word-level BPE of the installed vocabulary package."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
+def token_digests(encoded: DataFrame) -> DataFrame:
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op7_sharding": op7_sharding,
+    "op9_bpe": op9_bpe,
 }
 ORACLES: dict[str, str] = {}
