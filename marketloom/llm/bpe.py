@@ -34,7 +34,7 @@ BATCH_CHARS = 32_000_000
 
 
 class Words:
-    """Splits texts as the tokenizer does, and encodes single words with its merges."""
+    """Splits texts at white space as the tokenizer's rules allow, and encodes single words."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
@@ -43,13 +43,10 @@ class Words:
         steps = d["pre_tokenizer"]["pretokenizers"]
         self.special = {a["content"]: a["id"] for a in d["added_tokens"]}
         self._marks = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self._split = Tokenizer.from_str(json.dumps(d | {"added_tokens": [], "pre_tokenizer": steps[0]}))
-        self._merge = Tokenizer.from_str(json.dumps(d | {"added_tokens": [], "normalizer": None, "pre_tokenizer": steps[1]}))
-        self._fast = None
-        if [n["type"] for n in d["normalizer"]["normalizers"]] == _NORMAL and steps[0]["behavior"] == "Removed" and steps[0]["invert"]:
-            import regex
-
-            self._fast = regex.compile(steps[0]["pattern"]["Regex"])
+        self._normal = Tokenizer.from_str(json.dumps(d | {"added_tokens": []})).normalizer
+        self._merge = Tokenizer.from_str(json.dumps(d | {"added_tokens": [], "normalizer": None}))
+        if [n["type"] for n in d["normalizer"]["normalizers"]] != _NORMAL or [s["type"] for s in steps] != ["Split", "ByteLevel"] or steps[0]["behavior"] != "Removed":
+            raise ValueError("words can be encoded apart only where the tokenizer drops white space and works in lower case")
 
     def of(self, text: str) -> list[str]:
         if self._marks and "<" in text:
@@ -59,13 +56,15 @@ class Words:
         return self._plain(text)
 
     def _plain(self, text: str) -> list[str]:
-        if self._fast and _PLAIN.fullmatch(text):
-            return self._fast.findall(text.lower())
-        return [w for w, _ in self._split.pre_tokenizer.pre_tokenize_str(self._split.normalizer.normalize_str(text))]
+        # The pre-tokenizer's pieces never hold white space and depend on nothing beyond it, so a stretch between blanks is a word.
+        # The normaliser leaves blanks as the only white space; the plain characters have no other.
+        if _PLAIN.fullmatch(text):
+            return text.lower().split()
+        return [w for w in self._normal.normalize_str(text).split(" ") if w]
 
     def ids(self, words: list[str]) -> list[list[int]]:
         own = [w for w in words if w not in self.special]
-        it = iter(self._merge.encode_batch(own, add_special_tokens=False))
+        it = iter(self._merge.encode_batch_fast(own, add_special_tokens=False))
         return [[self.special[w]] if w in self.special else next(it).ids for w in words]
 
 
@@ -76,6 +75,14 @@ def words_of(spec: str) -> Words:
     return Words(spec)
 
 
+class Numbers(dict):
+    """Numbers words in the order of their first use."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 _BATCHES = "batch string, bucket int, words string, doc_id array<bigint>, lengths binary, codes binary"
 
 
@@ -89,7 +96,7 @@ def _batches(buckets: int, spec) -> object:
         pack = zstandard.ZstdCompressor(level=3)
         part, n = TaskContext.get().partitionId(), 0
         schema = pa.schema([("batch", pa.string()), ("bucket", pa.int32()), ("words", pa.string()), ("doc_id", pa.list_(pa.int64())), ("lengths", pa.binary()), ("codes", pa.binary())])
-        number: dict[str, int] = {}
+        number = Numbers()
         ids: list[int | None] = []
         lengths: list[int] = []
         codes: list[np.ndarray] = []
@@ -125,13 +132,13 @@ def _batches(buckets: int, spec) -> object:
             for doc_id, text in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
                 text = text.as_py()
                 own = words.of(text)
-                codes.append(np.fromiter((number.setdefault(w, len(number)) for w in own), np.int32, len(own)))
+                codes.append(np.array(list(map(number.__getitem__, own)), np.int32))
                 ids.append(doc_id)
                 lengths.append(len(own))
                 chars += len(text)
                 if chars >= BATCH_CHARS:
                     yield close()
-                    number, ids, lengths, codes, chars = {}, [], [], [], 0
+                    number, ids, lengths, codes, chars = Numbers(), [], [], [], 0
         if ids:
             yield close()
 
@@ -157,12 +164,14 @@ def _rebuild(pieces):
         import zstandard
 
         piece = pieces.value
-        lists = coded.sort_by("bucket").column("ids").to_pylist()
-        word_ids = [[int(i) for i in w.split(" ")] if w else [] for s in lists for w in s.split("\n")]
-        decoded = [" ".join(piece[i] for i in w) for w in word_ids]
-        sizes = np.fromiter(map(len, word_ids), np.int64, len(word_ids))
-        flat = np.fromiter((i for w in word_ids for i in w), np.int32, int(sizes.sum()))
+        texts = coded.sort_by("bucket").column("ids").to_pylist()
+        flat = np.fromstring(" ".join(texts), np.int32, sep=" ")
+        sizes = np.array([w.count(" ") + 1 for s in texts for w in s.split("\n")], np.int64)
         starts = np.cumsum(sizes) - sizes
+        pieces_of = list(map(piece.__getitem__, flat.tolist()))
+        decoded = [" ".join(pieces_of[a:b]) for a, b in zip(starts.tolist(), (starts + sizes).tolist(), strict=True)]
+        if sizes.sum() != len(flat):
+            raise ValueError("a word without ids")
         if docs.num_rows != 1:
             raise ValueError("a batch has one row of documents")
         ids = docs.column("doc_id")[0].as_py()
@@ -173,10 +182,9 @@ def _rebuild(pieces):
         at = np.cumsum(n)
         tokens = flat[np.repeat(starts[codes] - (at - n), n) + np.arange(int(at[-1]) if len(at) else 0)]
         offsets = np.concatenate([[0], at])[np.concatenate([[0], ends])]
-        # A word without ids, which the merges never give, would leave no gap in the decoded text.
         texts = []
         for e, k in zip(ends.tolist(), lengths.tolist(), strict=True):
-            texts.append(" ".join(d for d in map(decoded.__getitem__, codes[e - k : e].tolist()) if d))
+            texts.append(" ".join(map(decoded.__getitem__, codes[e - k : e].tolist())))
         return pa.table(
             {
                 "doc_id": pa.array(ids, pa.int64()),
