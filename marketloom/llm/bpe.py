@@ -30,7 +30,8 @@ from marketloom.llm.common import store, whole
 #: Texts of these characters alone are not changed by the normaliser but for lower case, and every engine classes them alike.
 _PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\xa1-\\xac\\xae-\\u017f]*")
 _NORMAL = ["NFC", "Replace", "Lowercase"]
-BATCH_CHARS = 32_000_000
+BATCH_CHARS = 24_000_000
+STRETCH = 400_000  # words
 
 
 class Words:
@@ -83,7 +84,7 @@ class Numbers(dict):
         return n
 
 
-_BATCHES = "batch string, bucket int, words string, doc_id array<bigint>, lengths binary, codes binary"
+_BATCHES = "batch string, bucket int, words binary, doc_id array<bigint>, lengths binary, codes binary"
 
 
 def _batches(buckets: int, spec) -> object:
@@ -95,7 +96,7 @@ def _batches(buckets: int, spec) -> object:
         words = words_of(spec.value)
         pack = zstandard.ZstdCompressor(level=3)
         part, n = TaskContext.get().partitionId(), 0
-        schema = pa.schema([("batch", pa.string()), ("bucket", pa.int32()), ("words", pa.string()), ("doc_id", pa.list_(pa.int64())), ("lengths", pa.binary()), ("codes", pa.binary())])
+        schema = pa.schema([("batch", pa.string()), ("bucket", pa.int32()), ("words", pa.binary()), ("doc_id", pa.list_(pa.int64())), ("lengths", pa.binary()), ("codes", pa.binary())])
         number = Numbers()
         ids: list[int | None] = []
         lengths: list[int] = []
@@ -112,13 +113,13 @@ def _batches(buckets: int, spec) -> object:
             names = list(number)
             used, first = np.unique(home[order], return_index=True)
             ends = np.append(first[1:], len(order))
-            lists = ["\n".join(names[i] for i in order[a:b]) for a, b in zip(first, ends, strict=True)]
+            lists = [pack.compress("\n".join([names[i] for i in order[a:b]]).encode()) for a, b in zip(first, ends, strict=True)]
             k = len(used)
             out = pa.record_batch(
                 [
                     pa.array([f"{part}-{n}"] * (k + 1), pa.string()),
                     pa.array([-1, *used.tolist()], pa.int32()),
-                    pa.array([None, *lists], pa.string()),
+                    pa.array([None, *lists], pa.binary()),
                     pa.array([ids, *[None] * k], pa.list_(pa.int64())),
                     pa.array([np.array(lengths, np.int32).tobytes(), *[None] * k], pa.binary()),
                     pa.array([pack.compress(flat.tobytes()), *[None] * k], pa.binary()),
@@ -149,10 +150,14 @@ def _encode(spec):
     """The rows of one bucket, from all batches: each distinct word is encoded once."""
 
     def run(rows: pa.Table) -> pa.Table:
-        lists = [w.split("\n") for w in rows.column("words").to_pylist()]
+        import zstandard
+
+        pack, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        lists = [unpack.decompress(w.as_py()).decode().split("\n") for w in rows.column("words")]
         distinct = list(dict.fromkeys(w for ws in lists for w in ws))
         ids = dict(zip(distinct, (" ".join(map(str, i)) for i in words_of(spec.value).ids(distinct)), strict=True))
-        return pa.table({"batch": rows.column("batch"), "bucket": rows.column("bucket"), "ids": pa.array(["\n".join(ids[w] for w in ws) for ws in lists], pa.string())})
+        coded = [pack.compress("\n".join([ids[w] for w in ws]).encode()) for ws in lists]
+        return pa.table({"batch": rows.column("batch"), "bucket": rows.column("bucket"), "ids": pa.array(coded, pa.binary())})
 
     return run
 
@@ -163,35 +168,41 @@ def _rebuild(pieces):
     def run(docs: pa.Table, coded: pa.Table) -> pa.Table:
         import zstandard
 
-        piece = pieces.value
-        texts = coded.sort_by("bucket").column("ids").to_pylist()
+        if docs.num_rows != 1:
+            raise ValueError("a batch has one row of documents")
+        piece, unpack = pieces.value, zstandard.ZstdDecompressor()
+        texts = [unpack.decompress(x.as_py()).decode() for x in coded.sort_by("bucket").column("ids")]
         flat = np.fromstring(" ".join(texts), np.int32, sep=" ")
         sizes = np.array([w.count(" ") + 1 for s in texts for w in s.split("\n")], np.int64)
+        if sizes.sum() != len(flat):
+            raise ValueError("a word without ids")
         starts = np.cumsum(sizes) - sizes
         pieces_of = list(map(piece.__getitem__, flat.tolist()))
         decoded = [" ".join(pieces_of[a:b]) for a, b in zip(starts.tolist(), (starts + sizes).tolist(), strict=True)]
-        if sizes.sum() != len(flat):
-            raise ValueError("a word without ids")
-        if docs.num_rows != 1:
-            raise ValueError("a batch has one row of documents")
+        del texts, pieces_of
         ids = docs.column("doc_id")[0].as_py()
-        lengths = np.frombuffer(docs.column("lengths")[0].as_py(), np.int32)
-        codes = np.frombuffer(zstandard.ZstdDecompressor().decompress(docs.column("codes")[0].as_py()), np.int32)
-        ends = np.cumsum(lengths, dtype=np.int64)
-        n = sizes[codes]
-        at = np.cumsum(n)
-        tokens = flat[np.repeat(starts[codes] - (at - n), n) + np.arange(int(at[-1]) if len(at) else 0)]
-        offsets = np.concatenate([[0], at])[np.concatenate([[0], ends])]
-        texts = []
-        for e, k in zip(ends.tolist(), lengths.tolist(), strict=True):
-            texts.append(" ".join(map(decoded.__getitem__, codes[e - k : e].tolist())))
-        return pa.table(
-            {
-                "doc_id": pa.array(ids, pa.int64()),
-                "ids": pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(tokens, pa.int32())).cast(pa.list_(pa.int32())),
-                "decoded": pa.array(texts, pa.string()),
-            }
-        )
+        ends = np.cumsum(np.frombuffer(docs.column("lengths")[0].as_py(), np.int32), dtype=np.int64)
+        codes = np.frombuffer(unpack.decompress(docs.column("codes")[0].as_py()), np.int32)
+        parts, i, word = [], 0, 0
+        while i < len(ids):  # stretches of documents, so that what is unfolded stays small
+            j = max(i + 1, int(np.searchsorted(ends, word + STRETCH)))
+            own = codes[word : int(ends[j - 1])]
+            n = sizes[own]
+            at = np.cumsum(n)
+            tokens = flat[np.repeat(starts[own] - (at - n), n) + np.arange(int(at[-1]) if len(at) else 0)]
+            cuts = np.concatenate([[0], ends[i:j] - word])
+            strings = list(map(decoded.__getitem__, own.tolist()))
+            parts.append(
+                pa.record_batch(
+                    {
+                        "doc_id": pa.array(ids[i:j], pa.int64()),
+                        "ids": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], at])[cuts], pa.int32()), pa.array(tokens, pa.int32())),
+                        "decoded": pa.array([" ".join(strings[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.string()),
+                    }
+                )
+            )
+            i, word = j, int(ends[j - 1])
+        return pa.Table.from_batches(parts)
 
     return run
 
@@ -212,6 +223,6 @@ def encode_decode(docs: DataFrame, spec: str, bucket_bytes: int = 1_000_000, doc
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     batches = store(rows.mapInArrow(_batches(max(16, size // bucket_bytes), spec_b), _BATCHES), "bpe-batches")
-    coded = batches.where("bucket >= 0").select("batch", "bucket", "words").groupBy("bucket").applyInArrow(_encode(spec_b), "batch string, bucket int, ids string")
+    coded = batches.where("bucket >= 0").select("batch", "bucket", "words").groupBy("bucket").applyInArrow(_encode(spec_b), "batch string, bucket int, ids binary")
     held = batches.where("bucket < 0").select("batch", "doc_id", "lengths", "codes")
     return held.groupBy("batch").cogroup(coded.groupBy("batch")).applyInArrow(_rebuild(piece_b), "doc_id bigint, ids array<int>, decoded string")
