@@ -15,42 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import store, whole
+from marketloom.llm.tokens import ALPHANUMERIC, terms_of
 
 WINDOW = 13
 SEGMENT_BYTES = 8_000_000
 BLOCK_WORDS = 250_000
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_WORD = np.zeros(256, bool)
-_WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-
-
-def _powers(n: int) -> np.ndarray:
-    out = np.full(max(n, 1), _BASE, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def terms_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit terms of all words of the texts (digits, letters and all beyond ASCII, A-Z lowered), and where each text begins among them."""
-    sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    raw = _LOWER[np.frombuffer(b"\0".join([*texts, b""]), np.uint8)]
-    inside = _WORD[raw]
-    edge = np.flatnonzero(np.diff(inside, prepend=False))
-    starts, lengths = edge[::2], edge[1::2] - edge[::2]
-    text_starts = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
-    if not len(starts):
-        return np.empty(0, np.uint64), text_starts
-    first = np.cumsum(lengths) - lengths
-    nth = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(first, lengths)
-    h = np.add.reduceat((raw[inside].astype(np.uint64) + np.uint64(1)) * _powers(int(lengths.max()))[nth], first)
-    h ^= lengths.astype(np.uint64) << np.uint64(48)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
-    return h ^ (h >> np.uint64(31)), text_starts
-
 
 _INDEX = "segment string, doc_id array<bigint>, text_hash array<bigint>, starts binary, terms binary, sizes binary, positions binary"
 
@@ -62,7 +32,7 @@ def _segments(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack, part, n = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId(), 0
 
     def close(ids: list, hashes: list, texts: list[bytes]) -> pa.RecordBatch:
-        h, starts = terms_of(texts)
+        h, starts = terms_of(texts, ALPHANUMERIC)
         order = np.argsort(h, kind="stable").astype(np.int32)
         h = h[order]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
@@ -156,7 +126,7 @@ class Segment:
 
 def _windows(items: list[tuple[int, bytes]], length: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct terms of the items; windows as rows of term numbers (-1 beyond a short item), their lengths, and whose they are."""
-    h, starts = terms_of([t for _, t in items])
+    h, starts = terms_of([t for _, t in items], ALPHANUMERIC)
     terms, number = np.unique(h, return_inverse=True)
     longest = int(np.diff(starts).max(initial=0))
     width = max(1, longest if length is None else min(length, longest))
