@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import bpe, contamination, linededup, minhash, quality, sharding
+from marketloom.llm import bpe, contamination, linededup, minhash, quality, repeats, sharding
 from marketloom.llm.common import table
 
 
@@ -50,6 +50,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
     return token_digests(bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary_json(vocabulary)))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.b - s.a)
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def vocabulary_json(path: str | None = None) -> str:
     """The tokenizer file at `path`, by default the public word-level BPE of the installed vocabulary package."""
     if path is None:
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sharding": op7_sharding,
     "op8_decontamination": op8_decontamination,
     "op9_bpe": op9_bpe,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 _CAPITALS = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
