@@ -30,8 +30,8 @@ from marketloom.llm.common import store, whole
 #: Texts of these characters alone are not changed by the normaliser but for lower case, and every engine classes them alike.
 _PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\xa1-\\xac\\xae-\\u017f]*")
 _NORMAL = ["NFC", "Replace", "Lowercase"]
-BATCH_CHARS = 24_000_000
-STRETCH = 400_000  # words
+BATCH_CHARS = 20_000_000
+STRETCH = 150_000  # words
 
 
 class Words:
@@ -105,13 +105,13 @@ def _batches(buckets: int, spec) -> object:
 
         def close() -> pa.RecordBatch:
             nonlocal n
-            home = np.fromiter((zlib.crc32(w.encode()) % buckets for w in number), np.int64, len(number))
-            order = np.argsort(home, kind="stable")
+            home = [zlib.crc32(w.encode()) % buckets for w in number]
+            names = list(number)
+            order = np.array(sorted(range(len(names)), key=lambda i: (home[i], names[i])), np.int64)  # like words together pack well
             place = np.empty(len(order), np.int32)
             place[order] = np.arange(len(order), dtype=np.int32)
             flat = place[np.concatenate(codes)] if codes else np.empty(0, np.int32)
-            names = list(number)
-            used, first = np.unique(home[order], return_index=True)
+            used, first = np.unique(np.array(home, np.int64)[order], return_index=True)
             ends = np.append(first[1:], len(order))
             lists = [pack.compress("\n".join([names[i] for i in order[a:b]]).encode()) for a, b in zip(first, ends, strict=True)]
             k = len(used)
@@ -122,7 +122,7 @@ def _batches(buckets: int, spec) -> object:
                     pa.array([None, *lists], pa.binary()),
                     pa.array([ids, *[None] * k], pa.list_(pa.int64())),
                     pa.array([np.array(lengths, np.int32).tobytes(), *[None] * k], pa.binary()),
-                    pa.array([pack.compress(flat.tobytes()), *[None] * k], pa.binary()),
+                    pa.array([pack.compress(flat.view(np.uint8).reshape(-1, 4).T.tobytes()), *[None] * k], pa.binary()),
                 ],
                 schema=schema,
             )
@@ -182,7 +182,8 @@ def _rebuild(pieces):
         del texts, pieces_of
         ids = docs.column("doc_id")[0].as_py()
         ends = np.cumsum(np.frombuffer(docs.column("lengths")[0].as_py(), np.int32), dtype=np.int64)
-        codes = np.frombuffer(unpack.decompress(docs.column("codes")[0].as_py()), np.int32)
+        planes = np.frombuffer(unpack.decompress(docs.column("codes")[0].as_py()), np.uint8).reshape(4, -1)
+        codes = np.ascontiguousarray(planes.T).view(np.int32).reshape(-1)
         parts, i, word = [], 0, 0
         while i < len(ids):  # stretches of documents, so that what is unfolded stays small
             j = max(i + 1, int(np.searchsorted(ends, word + STRETCH)))
@@ -207,7 +208,7 @@ def _rebuild(pieces):
     return run
 
 
-def encode_decode(docs: DataFrame, spec: str, bucket_bytes: int = 1_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, spec: str, bucket_bytes: int = 8_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ids (array of int), decoded (string) of every row of `docs`.
 
     `spec` is the JSON of a tokenizer whose pre-tokenizer is a split followed by byte levels, without a decoder: pieces are

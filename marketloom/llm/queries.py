@@ -7,10 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import bpe, contamination, linededup, minhash, quality, repeats, sharding
+from marketloom.llm import bpe, contamination, htmltext, licenses, linededup, minhash, quality, repeats, sharding, tokencounts
 from marketloom.llm.common import table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    with open(ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        counted = tokencounts.section_tokens(table(spark, sf_dir, "documents"), f.read(), public_tokenizers.PATTERN)
+    return counted.select("doc_id", F.col("n_tokens").alias("doc_tokens"), F.inline("sections"))
+
+
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("quality")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -76,8 +92,11 @@ def token_digests(encoded: DataFrame) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
+    "op2_html_text": op2_html_text,
     "op3_quality_rules": op3_quality_rules,
     "op4_minhash": op4_minhash,
+    "op5_license_scan": op5_license_scan,
     "op6_line_dedup": op6_line_dedup,
     "op7_sharding": op7_sharding,
     "op8_decontamination": op8_decontamination,

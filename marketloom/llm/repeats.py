@@ -28,7 +28,7 @@ from marketloom.llm.common import store, whole
 from marketloom.llm.suffixes import common_prefixes, suffix_array
 
 LENGTH = 400
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 2_500_000
 
 _TEXT = ["th1", "th2"]
 _MARK = pa.struct([("h", pa.int64()), ("p", pa.int32())])
