@@ -10,14 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
+_PRIVATE: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a private one only where none is set."""
+    """Shared folder named by the cluster; a private one of this application only in local mode where none is set."""
     root = spark.conf.get(CHECKPOINT_KEY, None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        app = spark.sparkContext.applicationId
+        if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError(f"{CHECKPOINT_KEY} must name a shared folder on a cluster")
-        root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set(CHECKPOINT_KEY, root)
+        root = _PRIVATE.get(app) or _PRIVATE.setdefault(app, tempfile.mkdtemp(prefix="run-", dir="/tmp"))
     return root.rstrip("/")
 
 
