@@ -112,7 +112,7 @@ def _batches(buckets: int, spec) -> object:
             place[order] = np.arange(len(order), dtype=np.int32)
             flat = place[np.concatenate(codes)] if codes else np.empty(0, np.int32)
             used, first = np.unique(np.array(home, np.int64)[order], return_index=True)
-            ends = np.append(first[1:], len(order))
+            ends = np.append(first, len(order))[1:]
             lists = [pack.compress("\n".join([names[i] for i in order[a:b]]).encode()) for a, b in zip(first, ends, strict=True)]
             k = len(used)
             out = pa.record_batch(
