@@ -35,8 +35,6 @@ def cumulative(
         )
     grid = [i / RANGES for i in range(1, RANGES)]
     pieces = F.least(F.lit(RANGES), F.ceil(F.col("_distinct") / F.lit(rows_per_range))).cast("int")
-    # every branch below reads all measures, so Spark sees one plan and shuffles `counts` once
-    counts = counts.where(" AND ".join(f"{m} >= 0" for m in measures))
     sizes = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("_distinct"))
     # at most one row per `rows_per_range` input rows, so this side stays small whatever the input
     large = sizes.where(F.col("_distinct") > rows_per_range).select(*by, pieces.alias("_pieces"))

@@ -186,7 +186,9 @@ def pair_statistics(
 
     def cell(pdf: pd.DataFrame) -> pd.DataFrame:
         same = pdf["_p"].iat[0] == pdf["_q"].iat[0]
-        wide = pdf.drop_duplicates([ts, by]).pivot(index=ts, columns=by, values="_x")
+        if pdf.duplicated([ts, by]).any():
+            raise ValueError(f"pairs need one row per {by} and {ts}")
+        wide = pdf.pivot(index=ts, columns=by, values="_x")
         home = pdf.drop_duplicates(by).set_index(by)["_b"]
         names, m = list(wide.columns), wide.to_numpy()
         head = tuple(pdf[k].iat[0] for k in keys)

@@ -152,10 +152,10 @@ def stat_08(spark, sf):
     return pick(S.outliers(lr(spark, sf), ["symbol"], "log_return", bounded=True), ["symbol", "ts"], ["z_score", "robust_z_score"])
 
 
-@query("stat_09", sql(RETURNS, RET, OUT, f"SELECT symbol, CAST(ts AS VARCHAR) AS ts, outlier_class, {r('rz')} AS robust_z_score FROM cls WHERE outlier_class <> 'normal' ORDER BY abs(rz) DESC"))
+@query("stat_09", sql(RETURNS, RET, OUT, f"SELECT symbol, CAST(ts AS VARCHAR) AS ts, outlier_class, {r('rz')} AS robust_z_score FROM cls WHERE outlier_class <> 'normal'"))
 def stat_09(spark, sf):
     df = S.outliers(lr(spark, sf), ["symbol"], "log_return", bounded=True).where(F.col("outlier_class") != "normal")
-    return df.orderBy(F.desc(F.abs("robust_z_score"))).select("symbol", "ts", "outlier_class", rnd("robust_z_score").alias("robust_z_score"))
+    return df.select("symbol", "ts", "outlier_class", rnd("robust_z_score").alias("robust_z_score"))
 
 
 PAIRS = """pr AS (SELECT a.symbol AS a, b.symbol AS b, a.ts, a.x AS xa, b.x AS xb FROM lr a JOIN lr b ON a.ts = b.ts AND a.symbol < b.symbol),

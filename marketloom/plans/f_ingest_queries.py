@@ -96,7 +96,7 @@ def news_payloads(spark, sf, page=100):
     i = F.col("article_id")
     art = F.struct(
         F.struct(F.when(i % 5 != 0, F.col("source_name")).alias("id"), F.col("source_name").alias("name")).alias("source"),
-        F.when(i % 17 != 0, F.substring("title", 1, 80)).alias("title"),
+        F.when(i % 17 != 0, F.col("title")).alias("title"),
         F.when(i % 3 == 0, F.concat("content", F.lit(" [+12 chars]"))).otherwise(F.col("content")).alias("content"),
         F.col("url").alias("url"),
         F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("publishedAt"),
@@ -111,8 +111,8 @@ def news_payloads(spark, sf, page=100):
         NEWS,
         """SELECT 'run-' || CAST(article_id // 100 AS VARCHAR) AS run_id, CASE WHEN article_id % 5 <> 0 THEN source_name END AS source_id, source_name,
   sha256(content || CASE WHEN article_id % 3 = 0 THEN ' [+12 chars]' ELSE '' END || CASE WHEN article_id % 3 = 0 OR contains(content, '[+') THEN ' [TRUNCATED_BY_PROVIDER]' ELSE '' END) AS content_sha,
-  CAST(published_at AS VARCHAR) AS published_at, CASE WHEN article_id % 17 = 0 OR substr(title, 1, 80) = '' THEN 'ERROR' ELSE 'OK' END AS status,
-  CASE WHEN article_id % 17 <> 0 AND substr(title, 1, 80) <> '' THEN sha256(lower(substr(title, 1, 80) || '|' || url || '|' || source_name)) END AS content_hash FROM news""",
+  CAST(published_at AS VARCHAR) AS published_at, CASE WHEN article_id % 17 = 0 OR title = '' THEN 'ERROR' ELSE 'OK' END AS status,
+  CASE WHEN article_id % 17 <> 0 AND title <> '' THEN sha256(lower(title || '|' || url || '|' || source_name)) END AS content_hash FROM news""",
     ),
 )
 def src_06(spark, sf):

@@ -24,7 +24,7 @@ def knowledge(spark):
     return spark.createDataFrame([(t.lower(), f"{s} Corp", s) for t, s in TERMS.items() if t != "Is"], "name string, canonical_name string, ticker string")
 
 
-CHOSEN = NEWS + ",\nch AS (SELECT article_id, CASE WHEN article_id % 4 = 0 THEN CASE WHEN article_id % 8 = 0 THEN substr(title, 1, 40) ELSE url END ELSE content END AS t FROM news)"
+CHOSEN = NEWS + ",\nch AS (SELECT article_id, CASE WHEN article_id % 4 = 0 THEN CASE WHEN article_id % 8 = 0 THEN title ELSE url END ELSE content END AS t FROM news)"
 
 
 @query(
@@ -35,7 +35,7 @@ def nlp_01(spark, sf):
     i = F.col("article_id")
     n = V.news(spark, sf).select(
         "article_id", F.when(i % 4 != 0, F.col("content")).otherwise("").alias("content"),
-        F.when((i % 4 == 0) & (i % 8 != 0), F.col("url")).alias("description"), F.substring("title", 1, 40).alias("title"),
+        F.when((i % 4 == 0) & (i % 8 != 0), F.col("url")).alias("description"), "title",
     )
     return n.withColumn("t", T.choose_text()).select("article_id", F.length("t").alias("n_chars"), T.text_gate("t").alias("gate"))
 
@@ -216,12 +216,12 @@ def join_09(spark, sf):
     return rows.select("article_id", "published_at", "entity_id", "sentiment_label")
 
 
-@query("join_10", sql(NEWS, "SELECT article_id, CAST(published_at AS VARCHAR) AS published_at FROM news WHERE article_id % 3 <> 0 ORDER BY news.published_at, article_id LIMIT 100"))
+@query("join_10", sql(NEWS, "SELECT article_id, CAST(published_at AS VARCHAR) AS published_at FROM news WHERE article_id % 3 <> 0"))
 def join_10(spark, sf):
-    """The next batch of 100 articles without a result of this model version."""
+    """All articles without a result of this model version."""
     n = V.news(spark, sf).select("article_id", "published_at")
     done = n.where("article_id % 3 = 0").withColumn("model_version", F.lit("v1"))
-    return J.unprocessed(n, done.where("model_version = 'v1'"), ["article_id"]).orderBy("published_at", "article_id").limit(100)
+    return J.unprocessed(n, done.where("model_version = 'v1'"), ["article_id"])
 
 
 @query(

@@ -305,7 +305,7 @@ def int_02(spark, sf):
 def landed(spark, df, name, by):
     """Lands a table as several files, so that a stream takes it in several micro-batches."""
     path = scratch_path(spark, name)
-    df.repartition(4, by).write.parquet(path)
+    df.repartition(by).write.parquet(path)
     return path
 
 
