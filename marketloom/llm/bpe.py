@@ -1,7 +1,9 @@
 """BPE encoding and decoding by a distinct-word table.
 
 1. Documents are split into words partition by partition. A batch (the documents of a stretch of one input partition) keeps
-   its distinct words once, dealt into hash buckets, and each document becomes a list of word numbers.
+   its distinct words once, dealt into hash buckets, and each document becomes a list of word numbers. More frequent classes
+   of words have lower numbers, which pack well; inside a class numbers follow the order of the words, so a batch keeps one
+   class a word instead of a permutation.
 2. The words of all batches meet by bucket; there every distinct word is encoded once.
 3. The ids go back to their batch by bucket, and word numbers turn into ids by position. Decoding joins ids to pieces
    through the vocabulary, which has a fixed size.
@@ -32,6 +34,7 @@ _PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\xa1-\\xac\\xae-\\u017f]*")
 _NORMAL = ["NFC", "Replace", "Lowercase"]
 BATCH_CHARS = 20_000_000
 STRETCH = 150_000  # words
+LEVEL = 9  # of compression; what is packed is stored once and shuffled once
 
 
 class Words:
@@ -84,7 +87,12 @@ class Numbers(dict):
         return n
 
 
-_BATCHES = "batch string, bucket int, words binary, doc_id array<bigint>, lengths binary, codes binary"
+_BATCHES = "batch string, bucket int, words binary, doc_id array<bigint>, lengths binary, classes binary, codes binary"
+
+
+def _by_class(classes: np.ndarray) -> np.ndarray:
+    """Positions in the order of the words' numbers: more frequent classes first, and by position inside a class."""
+    return np.argsort(-classes.astype(np.int16), kind="stable").astype(np.int32)
 
 
 def _batches(buckets: int, spec) -> object:
@@ -94,9 +102,9 @@ def _batches(buckets: int, spec) -> object:
         import zstandard
 
         words = words_of(spec.value)
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=LEVEL)
         part, n = TaskContext.get().partitionId(), 0
-        schema = pa.schema([("batch", pa.string()), ("bucket", pa.int32()), ("words", pa.binary()), ("doc_id", pa.list_(pa.int64())), ("lengths", pa.binary()), ("codes", pa.binary())])
+        schema = pa.schema([("batch", pa.string()), ("bucket", pa.int32()), ("words", pa.binary()), ("doc_id", pa.list_(pa.int64())), ("lengths", pa.binary()), ("classes", pa.binary()), ("codes", pa.binary())])
         number = Numbers()
         ids: list[int | None] = []
         lengths: list[int] = []
@@ -108,9 +116,11 @@ def _batches(buckets: int, spec) -> object:
             home = [zlib.crc32(w.encode()) % buckets for w in number]
             names = list(number)
             order = np.array(sorted(range(len(names)), key=lambda i: (home[i], names[i])), np.int64)  # like words together pack well
+            flat = np.concatenate(codes)
+            classes = np.log2(np.bincount(flat, minlength=len(names)))[order].astype(np.uint8)
             place = np.empty(len(order), np.int32)
-            place[order] = np.arange(len(order), dtype=np.int32)
-            flat = place[np.concatenate(codes)] if codes else np.empty(0, np.int32)
+            place[order[_by_class(classes)]] = np.arange(len(order), dtype=np.int32)
+            flat = place[flat]
             used, first = np.unique(np.array(home, np.int64)[order], return_index=True)
             ends = np.append(first, len(order))[1:]
             lists = [pack.compress("\n".join([names[i] for i in order[a:b]]).encode()) for a, b in zip(first, ends, strict=True)]
@@ -122,6 +132,7 @@ def _batches(buckets: int, spec) -> object:
                     pa.array([None, *lists], pa.binary()),
                     pa.array([ids, *[None] * k], pa.list_(pa.int64())),
                     pa.array([np.array(lengths, np.int32).tobytes(), *[None] * k], pa.binary()),
+                    pa.array([pack.compress(classes.tobytes()), *[None] * k], pa.binary()),
                     pa.array([pack.compress(flat.view(np.uint8).reshape(-1, 4).T.tobytes()), *[None] * k], pa.binary()),
                 ],
                 schema=schema,
@@ -152,7 +163,7 @@ def _encode(spec):
     def run(rows: pa.Table) -> pa.Table:
         import zstandard
 
-        pack, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        pack, unpack = zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
         lists = [unpack.decompress(w.as_py()).decode().split("\n") for w in rows.column("words")]
         distinct = list(dict.fromkeys(w for ws in lists for w in ws))
         ids = dict(zip(distinct, (" ".join(map(str, i)) for i in words_of(spec.value).ids(distinct)), strict=True))
@@ -182,12 +193,13 @@ def _rebuild(pieces):
         del texts, pieces_of
         ids = docs.column("doc_id")[0].as_py()
         ends = np.cumsum(np.frombuffer(docs.column("lengths")[0].as_py(), np.int32), dtype=np.int64)
+        place = _by_class(np.frombuffer(unpack.decompress(docs.column("classes")[0].as_py()), np.uint8))
         planes = np.frombuffer(unpack.decompress(docs.column("codes")[0].as_py()), np.uint8).reshape(4, -1)
         codes = np.ascontiguousarray(planes.T).view(np.int32).reshape(-1)
         parts, i, word = [], 0, 0
         while i < len(ids):  # stretches of documents, so that what is unfolded stays small
             j = max(i + 1, int(np.searchsorted(ends, word + STRETCH)))
-            own = codes[word : int(ends[j - 1])]
+            own = place[codes[word : int(ends[j - 1])]]
             n = sizes[own]
             at = np.cumsum(n)
             tokens = flat[np.repeat(starts[own] - (at - n), n) + np.arange(int(at[-1]) if len(at) else 0)]
@@ -208,7 +220,7 @@ def _rebuild(pieces):
     return run
 
 
-def encode_decode(docs: DataFrame, spec: str, bucket_bytes: int = 8_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, spec: str, bucket_bytes: int = 16_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ids (array of int), decoded (string) of every row of `docs`.
 
     `spec` is the JSON of a tokenizer whose pre-tokenizer is a split followed by byte levels, without a decoder: pieces are
@@ -225,5 +237,5 @@ def encode_decode(docs: DataFrame, spec: str, bucket_bytes: int = 8_000_000, doc
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     batches = store(rows.mapInArrow(_batches(max(16, size // bucket_bytes), spec_b), _BATCHES), "bpe-batches")
     coded = batches.where("bucket >= 0").select("batch", "bucket", "words").groupBy("bucket").applyInArrow(_encode(spec_b), "batch string, bucket int, ids binary")
-    held = batches.where("bucket < 0").select("batch", "doc_id", "lengths", "codes")
+    held = batches.where("bucket < 0").select("batch", "doc_id", "lengths", "classes", "codes")
     return held.groupBy("batch").cogroup(coded.groupBy("batch")).applyInArrow(_rebuild(piece_b), "doc_id bigint, ids array<int>, decoded string")
