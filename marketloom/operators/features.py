@@ -5,6 +5,8 @@ Windows run over one symbol's daily bars (or one company's filings), which the c
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,33 +37,44 @@ METRIC_TAGS = {
     ],
 }
 ANNUAL = float(TRADING_DAYS) ** 0.5
-EMA_BLOCK = 512
+EMA_DECAY = 60.0  # a block of rows ends where weights have fallen by exp(-60)
 
 
 def _ema(df: DataFrame, n: int, by: str, ts: str, price: str) -> DataFrame:
     """Exponential average with span n, seeded with the first price, without a row-by-row loop.
 
-    Inside a block the recursion is a weighted running sum. The state left by earlier blocks decays by
-    (1-a)^512 per block, so the two blocks before carry everything a double can hold for spans up to 50.
+    The average before an observation counts q^g against a, with g rows since the observation before; rows without a price
+    carry the average on, and it is given from the n-th price on. As a weighted sum, a price's weight falls with the decay
+    summed up after it. Blocks are cut by that decay, so that exponents stay small, and what lies before the latest earlier
+    block has vanished.
     """
+    if n < 2:
+        raise ValueError("a span has at least two rows")
     a = 2.0 / (n + 1.0)
     q = 1.0 - a
-    if q**EMA_BLOCK > 1e-8:
-        raise ValueError("span too long for the block length")
     w = series(by, ts)
-    rn = F.row_number().over(w) - 1
-    j = F.col("_j").cast("double")
-    seed = F.when((F.col("_rn") == 0), F.col(price)).otherwise(F.col(price) * a)
-    blocks = Window.partitionBy(by, "_blk").orderBy("_rn")
-    # the oldest block seen from a row is two back: weight q^(512*2) has vanished by then
-    df = df.withColumn("_rn", rn).withColumn("_blk", F.floor(F.col("_rn") / EMA_BLOCK)).withColumn("_j", F.col("_rn") % EMA_BLOCK)
-    df = df.withColumn("_local", F.sum(seed * F.pow(F.lit(q), -j)).over(so_far(blocks)) * F.pow(F.lit(q), j))
     past = w.rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("_end", F.when(F.col("_j") == EMA_BLOCK - 1, F.col("_local")))
-    df = df.withColumn("_end", F.col("_end") + F.coalesce(F.last("_end", ignorenulls=True).over(past), F.lit(0.0)) * q**EMA_BLOCK)
-    state = F.coalesce(F.last("_end", ignorenulls=True).over(past), F.lit(0.0))
-    value = F.col("_local") + F.pow(F.lit(q), j + 1) * state
-    return df.withColumn(f"ema_{n}d", F.when(F.col("_rn") >= n - 1, value)).drop("_rn", "_blk", "_j", "_local", "_end")
+    seen = F.col(price).isNotNull()
+    df = df.withColumn("_rn", F.row_number().over(w)).withColumn("_n", F.count(price).over(so_far(w)))
+    df = df.withColumn("_gap", F.col("_rn") - F.last(F.when(seen, F.col("_rn")), ignorenulls=True).over(past))
+    total = F.pow(F.lit(q), F.col("_gap")) + a
+    unit = -math.log(q)  # the decay of an observation after a gap of one; what others have beyond it is summed up apart
+    more = F.when(seen & (F.col("_gap") > 1), (F.col("_gap") - 1) * unit + F.ln(total))
+    df = df.withColumn("_more", F.coalesce(F.sum(more).over(so_far(w)), F.lit(0.0)))
+    df = df.withColumn("_blk", F.floor((F.col("_n") * unit + F.col("_more")) / EMA_DECAY))
+    blocks = Window.partitionBy(by, "_blk").orderBy("_rn")
+
+    def since(n0: Column, more0: Column) -> Column:
+        return (F.col("_n") - n0) * unit + (F.col("_more") - more0)
+
+    df = df.withColumn("_in", since(F.first("_n").over(blocks), F.first("_more").over(blocks)))
+    weight = F.when(F.col("_gap").isNull(), F.lit(1.0)).when(F.col("_gap") == 1, F.lit(a)).otherwise(a / total)
+    df = df.withColumn("_local", F.sum(weight * F.col(price) * F.exp("_in")).over(so_far(blocks)) * F.exp(-F.col("_in")))
+    df = df.withColumn("_end", F.when(F.lead("_blk").over(w) != F.col("_blk"), F.struct("_local", "_n", "_more")))
+    df = df.withColumn("_end", F.last("_end", ignorenulls=True).over(past))
+    before = F.col("_end._local") * F.exp(-since(F.col("_end._n"), F.col("_end._more")))
+    value = F.col("_local") + F.coalesce(before, F.lit(0.0))
+    return df.withColumn(f"ema_{n}d", F.when(F.col("_n") >= n, value)).drop("_rn", "_n", "_gap", "_more", "_blk", "_in", "_local", "_end")
 
 
 def technical(df: DataFrame, by: str = "symbol", ts: str = "ts", price: str = "close") -> DataFrame:

@@ -3,6 +3,7 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from marketloom.operators import features as X
 from marketloom.operators import windows as W
@@ -31,6 +32,18 @@ def test_ema_matches_pandas_across_blocks(spark, n):
         np.testing.assert_allclose(out[f"ema_{span}d"].astype(float), want, rtol=1e-12)
 
 
+def test_ema_over_gaps(spark):
+    rng = np.random.default_rng(2)
+    close = 100 + np.cumsum(rng.normal(size=3000))
+    close[rng.random(3000) < 0.3] = np.nan
+    close[:3] = close[40] = close[1000:2200] = np.nan
+    frame = bars(spark, close).withColumn("close", F.when(~F.isnan("close"), F.col("close")))
+    out = X.ema(frame).orderBy("ts").toPandas()
+    for span in (20, 50):
+        want = pd.Series(close).ewm(span=span, adjust=False, min_periods=span).mean()
+        np.testing.assert_allclose(out[f"ema_{span}d"].astype(float), want, rtol=1e-11)
+
+
 def test_obv_and_zero_volume(spark):
     out = X.volume(bars(spark, [10, 11, 10, 10], [5, 7, 0, 3])).orderBy("ts").toPandas()
     assert out["obv"].tolist() == [0, 7, 7, 7]
