@@ -7,6 +7,8 @@ in one task, unless the caller states with `bounded` that groups are daily bars
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -106,6 +108,10 @@ ROYSTON_A1 = [0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056]
 ROYSTON_A2 = [0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633]
 ROYSTON_MEAN = [-1.5861, -0.31082, -0.083751, 0.0038915]
 ROYSTON_SD = [-0.4803, -0.082676, 0.0030302]
+# The same for 4 to 11 values: bound, mean and logarithm of the deviation by the number of values.
+ROYSTON_SMALL_BOUND = [-2.273, 0.459]
+ROYSTON_SMALL_MEAN = [0.544, -0.39978, 0.025054, -6.714e-4]
+ROYSTON_SMALL_SD = [1.3822, -0.77857, 0.062767, -0.0020322]
 
 
 def _poly(coef: list[float], x: Column) -> Column:
@@ -116,9 +122,16 @@ def _poly(coef: list[float], x: Column) -> Column:
 
 
 def shapiro_wilk(df: DataFrame, by: list[str], x: str, limit: int = 5000) -> DataFrame:
-    """W and p for groups of 12 to limit-1 values. Larger groups are left out before anything is sorted."""
+    """n, W and p of every group that has values; W and p are null below 3 values, from `limit` on, and without variance.
+
+    Groups outside these bounds are set apart before anything is sorted. Outermost weights are corrected by polynomials, the
+    two next to them from six values on; p is exact for three values and has its own transformation up to eleven.
+    """
     clean = df.where(F.col(x).isNotNull()).select(*by, x)
-    sizes = clean.groupBy(*by).agg(F.count(x).alias("n"), F.var_pop(x).alias("_v")).where((F.col("n") < limit) & (F.col("n") > 11))
+    sizes = clean.groupBy(*by).agg(F.count(x).alias("n"), F.var_pop(x).alias("_v"))
+    fits = (F.col("n") < limit) & (F.col("n") > 2)
+    rest = sizes.where(~fits).select(*by, "n", F.lit(None).cast("double").alias("w_stat"), F.lit(None).cast("double").alias("w_p"))
+    sizes = sizes.where(fits)
     w = Window.partitionBy(*by).orderBy(x)
     ranked = clean.join(sizes, by).withColumn("_i", F.row_number().over(w))
     score = normal_quantile((F.col("_i") - 0.375) / (F.col("n") + 0.25))
@@ -126,7 +139,9 @@ def shapiro_wilk(df: DataFrame, by: list[str], x: str, limit: int = 5000) -> Dat
     low = lambda i: F.max(F.when(F.col("_i") == F.col("n") + 1 - i, F.col("_m")))
     at = lambda i: F.max(F.when(F.col("_i") == i, F.col(x)))
     top = lambda i: F.max(F.when(F.col("_i") == F.col("n") + 1 - i, F.col(x)))
-    inner = (F.col("_i") > 2) & (F.col("_i") < F.col("n") - 1)
+    two = F.col("n") > 5
+    outer = F.when(two, 2).otherwise(1)
+    inner = (F.col("_i") > outer) & (F.col("_i") < F.col("n") + 1 - outer)
     g = ranked.groupBy(*by, "n", "_v").agg(
         F.sum(F.col("_m") ** 2).alias("_mm"), low(1).alias("_m1"), low(2).alias("_m2"),
         (top(1) - at(1)).alias("_d1"), (top(2) - at(2)).alias("_d2"),
@@ -134,13 +149,23 @@ def shapiro_wilk(df: DataFrame, by: list[str], x: str, limit: int = 5000) -> Dat
     )
     n = F.col("n").cast("double")
     root = F.sqrt("_mm")
-    g = g.withColumn("_a1", _poly(ROYSTON_A1, 1 / F.sqrt(n)) + F.col("_m1") / root)
-    g = g.withColumn("_a2", _poly(ROYSTON_A2, 1 / F.sqrt(n)) + F.col("_m2") / root)
-    phi = (F.col("_mm") - 2 * F.col("_m1") ** 2 - 2 * F.col("_m2") ** 2) / (1 - 2 * F.col("_a1") ** 2 - 2 * F.col("_a2") ** 2)
-    num = F.col("_a1") * F.col("_d1") + F.col("_a2") * F.col("_d2") + F.col("_mx") / F.sqrt(phi)
-    g = g.withColumn("w_stat", div(num**2, F.col("_v") * n))
-    z = (F.ln(1 - F.col("w_stat")) - _poly(ROYSTON_MEAN, F.ln(n))) / F.exp(_poly(ROYSTON_SD, F.ln(n)))
-    return g.withColumn("w_p", normal_tail(z)).select(*by, "n", "w_stat", "w_p")
+    a1 = _poly(ROYSTON_A1, 1 / F.sqrt(n)) + F.col("_m1") / root
+    g = g.withColumn("_a1", F.when(F.col("n") == 3, F.sqrt(F.lit(0.5))).otherwise(a1))
+    g = g.withColumn("_a2", F.when(two, _poly(ROYSTON_A2, 1 / F.sqrt(n)) + F.col("_m2") / root).otherwise(0.0))
+    left = F.col("_mm") - 2 * F.col("_m1") ** 2 - F.when(two, 2 * F.col("_m2") ** 2).otherwise(0.0)
+    phi = left / (1 - 2 * F.col("_a1") ** 2 - 2 * F.col("_a2") ** 2)
+    middle = F.when(F.col("n") == 3, 0.0).otherwise(F.col("_mx") / F.sqrt(phi))
+    num = F.col("_a1") * F.col("_d1") + F.when(two, F.col("_a2") * F.col("_d2")).otherwise(0.0) + middle
+    g = g.withColumn("w_stat", F.least(div(num**2, F.col("_v") * n), F.when(F.col("_v") > 0, 1.0)))
+    gone = F.ln(1 - F.col("w_stat"))
+    z = (gone - _poly(ROYSTON_MEAN, F.ln(n))) / F.exp(_poly(ROYSTON_SD, F.ln(n)))
+    bound = _poly(ROYSTON_SMALL_BOUND, n)
+    small = (-F.ln(bound - gone) - _poly(ROYSTON_SMALL_MEAN, n)) / F.exp(_poly(ROYSTON_SMALL_SD, n))
+    three = F.greatest(F.lit(0.0), 6 / math.pi * (F.asin(F.sqrt("w_stat")) - math.asin(math.sqrt(0.75))))
+    p = F.when(F.col("n") == 3, three).when((F.col("n") < 12) & (gone >= bound), 0.0)
+    p = p.when(F.col("w_stat") == 1, 1.0).otherwise(normal_tail(F.when(F.col("n") < 12, small).otherwise(z)))
+    p = F.when(F.col("w_stat").isNotNull(), p)
+    return g.withColumn("w_p", p).select(*by, "n", "w_stat", "w_p").unionByName(rest)
 
 
 def outliers(df: DataFrame, by: list[str], x: str, bounded: bool = False) -> DataFrame:

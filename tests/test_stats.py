@@ -98,3 +98,16 @@ def test_finding_text(spark):
     texts = [r.t for r in df.select(L.finding_text(F.lit("x"), F.col("p"), F.col("c")).alias("t")).collect()]
     assert texts[0].startswith("No statistically") and "negative (strong)" in texts[1] and texts[2].startswith("Insufficient")
     assert not math.isnan(len(texts))
+
+
+def test_shapiro_wilk_of_few_values(spark):
+    rng = np.random.default_rng(5)
+    rows = [(n * 10_000 + k, float(v)) for n in range(3, 14) for k in range(1500) for v in rng.normal(size=n)]
+    out = S.shapiro_wilk(spark.createDataFrame(pd.DataFrame(rows, columns=["g", "x"])), ["g"], "x").toPandas()
+    assert len(out) == 11 * 1500 and out["w_stat"].between(0, 1).all()
+    for _, p in out.groupby("n")["w_p"]:  # under the hypothesis p is uniform
+        assert abs(p.mean() - 0.5) < 0.04 and abs((p < 0.1).mean() - 0.1) < 0.04
+    odd = spark.createDataFrame(pd.DataFrame([(1, 2.0), (1, 3.0)] + [(2, 7.0)] * 5 + [(3, v) for v in (0.0, 0.0, 9.0)] + [(4, float(v)) for v in range(30)], columns=["g", "x"]))
+    got = S.shapiro_wilk(odd, ["g"], "x", limit=30).toPandas().set_index("g")
+    assert got["n"].to_dict() == {1: 2, 2: 5, 3: 3, 4: 30} and got.loc[[1, 2, 4], ["w_stat", "w_p"]].isna().all(axis=None)
+    assert abs(got.loc[3, "w_stat"] - 0.75) < 1e-9 and got.loc[3, "w_p"] < 1e-4
