@@ -2,7 +2,8 @@
 
 A page is read once into text nodes, each with its path of open tags. Per path, text length and punctuation are added up and
 divided by the number of nodes; the ratios are smoothed along the page, fused by multiplication, and paths above a threshold
-are content. The container of most content, and all blocks of it that are not set apart as something else, are the text.
+are content. The article or main element, elsewhere the lowest common ancestor of all content, is the container; its blocks that
+are not set apart as something else are the text.
 """
 
 from __future__ import annotations
@@ -37,6 +38,9 @@ APART_TAGS = set("nav aside footer form button dialog menu label input option au
 APART_WORDS = set(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer login masthead menu modal nav navbar navigation newsletter notice notices outbrain overlay pager pagination popup promo promotion reaction reactions related reply replies search share sharing sidebar signup skip social sponsor sponsored subscribe taboola toolbar widget contentinfo complementary alert".split()
 )
+#: Parts that are never a container, and blocks that belong to it from above.
+_PARTS = set("ul ol dl table".split())
+_LEADS = set("p h1 h2 h3 h4 h5 h6 blockquote".split())
 _TEXT_TAGS = set("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure".split())
 
 
@@ -134,6 +138,38 @@ def content_paths(nodes: list[_Node], factor: float = 0.5) -> set[tuple[str, ...
     return {p for p, s in score.items() if s >= limit}
 
 
+def _tag(name: str) -> str:
+    return name.split(".")[0]
+
+
+def _container(paths: set[tuple[str, ...]]) -> tuple[str, ...]:
+    """The lowest common ancestor of the paths that is neither in a list or table nor a paragraph or an inline element."""
+    lo, hi = min(paths), max(paths)
+    common = lo[: next((i for i, (a, b) in enumerate(zip(lo, hi, strict=False)) if a != b), min(len(lo), len(hi)))]
+    common = common[: next((i for i, name in enumerate(common) if _tag(name) in _PARTS), len(common))]
+    while common and _tag(common[-1]) not in _FENCE | {"html"}:
+        common = common[:-1]
+    return common
+
+
+def _kept(nodes: list[_Node], chosen: set[tuple[str, ...]]) -> list[bool]:
+    """For pages without article and main: blocks of the container, and titles and paragraphs that lead to it from above."""
+    container = _container(chosen)
+    depth = len(container)
+    above = {p[:k] for p in chosen for k in range(len(p) + 1)}
+    first = next(i for i, n in enumerate(nodes) if n.path[:depth] == container and n.text.strip())
+    keep = []
+    for i, n in enumerate(nodes):
+        if n.path[:depth] == container:
+            below = _tag(n.path[depth]) if len(n.path) > depth else None
+            keep.append(below is None or below in _TEXT_TAGS or below not in _BLOCK or n.path[: depth + 1] in above)
+            continue
+        tags = [_tag(name) for name in n.path]
+        at = next((k for k, tag in enumerate(tags) if tag in _LEADS), None)
+        keep.append(i < first and at is not None and "a" not in tags and (tags[at] == "h1" or n.path[:at] == container[:at]))
+    return keep
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, white space folded, joined by an empty line; '' if there is none."""
     nodes = text_nodes(page or "")
@@ -143,22 +179,10 @@ def main_text(page: str | None) -> str:
     if named:
         nodes = [nodes[i] for i in named]
     chosen = content_paths(nodes)
-    share: dict[tuple[str, ...], int] = defaultdict(int)
-    for n in nodes:
-        if n.path in chosen:
-            for k in range(len(n.path) + 1):
-                share[n.path[:k]] += len(n.text.strip())
-    total = share[()]
-    container = max((p for p, s in share.items() if 10 * s >= 9 * total), key=len)
-    while container and container[-1].split(".")[0] not in _FENCE | {"html"}:
-        container = container[:-1]
-    depth = len(container)
+    keep = [True] * len(nodes) if named else _kept(nodes, chosen)
     blocks: dict[int, list[str]] = {}
-    for n in nodes:
-        if n.path[:depth] != container:
-            continue
-        below = n.path[depth] if len(n.path) > depth else None
-        if below is None or below.split(".")[0] in _TEXT_TAGS or below.split(".")[0] not in _BLOCK or n.path[: depth + 1] in share or named:
+    for n, k in zip(nodes, keep, strict=True):
+        if k:
             blocks.setdefault(n.block, []).append(n.text)
     lines = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n\n".join(x for x in lines if x)

@@ -336,6 +336,18 @@ def test_html_of_the_given_pages(spark):
         assert htmltext.main_text(r.html) == "\n\n".join(x for x in blocks if x)
 
 
+def test_html_container_is_the_whole_article():
+    body = "".join(f"<p>Paragraph {i} of the body, long enough to hold most of the text, as bodies do.</p>" for i in range(20))
+    rows_ = "".join(f"<tr><td>Cell {i}, with a long sentence in it, and more of it.</td></tr>" for i in range(40))
+    lines = [f"Paragraph {i} of the body, long enough to hold most of the text, as bodies do." for i in range(20)]
+    cells = [f"Cell {i}, with a long sentence in it, and more of it." for i in range(40)]
+    for around in ("article", "main", "div"):
+        page = f"<html><body><div id=x1><a href=/>Home</a></div><{around}><h1>Title</h1><p>lead</p><div class='body'>{body}</div></{around}></body></html>"
+        assert htmltext.main_text(page).split("\n\n") == ["Title", "lead", *lines]
+        page = f"<body><{around}><h1>Title</h1><p>before</p><table>{rows_}</table><p>after</p></{around}></body>"
+        assert htmltext.main_text(page).split("\n\n") == ["Title", "before", *cells, "after"]
+
+
 def test_token_counts(spark, docs, empty):
     import public_tokenizers as P
 
