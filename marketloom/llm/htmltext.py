@@ -23,9 +23,8 @@ _TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
     re.I | re.S,
 )
-_ATTRIBUTE = re.compile(r"(?P<name>class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"(?P<a>[^\"]*)\"|'(?P<b>[^']*)'|(?P<c>[^\s>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"(?P<name>[^\s\"'<>/=]+)(?:\s*=\s*(?:\"(?P<a>[^\"]*)\"|'(?P<b>[^']*)'|(?P<c>[^\s>]+)))?")
 _PUNCTUATION = re.compile(r"[.,;:!?。，；：！？…]")
-_SPLIT = re.compile(r"[^a-z]+")
 
 _BLOCK = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
@@ -33,11 +32,18 @@ _BLOCK = set(
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _FENCE = set("ul ol dl table article section div main body".split())
-#: Tags, and words of class, id or role, that set a part of a page apart from its article.
-APART_TAGS = set("nav aside footer form button dialog menu label input option audio video canvas".split())
+#: Tags, and whole words of class, id or role, that set a part of a page apart from its article.
+APART_TAGS = set("nav aside footer button dialog menu label input option audio video canvas".split())
 APART_WORDS = set(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer login masthead menu modal nav navbar navigation newsletter notice notices outbrain overlay pager pagination popup promo promotion reaction reactions related reply replies search share sharing sidebar signup skip social sponsor sponsored subscribe taboola toolbar widget contentinfo complementary alert".split()
 )
+#: Words for parts that can be longer than the article itself.
+LONG_WORDS = set("comment comments disqus outbrain reaction reactions related reply replies taboola".split())
+_PLACES = "site page main top bottom left right primary secondary global mobile".split()
+_THINGS = "banner footer menu nav navbar navigation sidebar".split()
+_TOPICS = "ad ads comment comments cookie newsletter related share sharing social sponsored".split()
+_SHAPES = "area banner bar box buttons form links list notice popup posts section signup stories widget wrapper".split()
+_COMPOUND = {f"{a}-{b}" for x, y in ((_PLACES, _THINGS), (_TOPICS, _SHAPES)) for a in x for b in y}
 #: Parts that are never a container, and blocks that belong to it from above.
 _PARTS = set("ul ol dl table".split())
 _LEADS = set("p h1 h2 h3 h4 h5 h6 blockquote".split())
@@ -45,33 +51,39 @@ _TEXT_TAGS = set("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure".spli
 
 
 class _Node:
-    __slots__ = ("path", "text", "block")
+    __slots__ = ("path", "text", "block", "marks")
 
-    def __init__(self, path: tuple[str, ...], text: str, block: int):
-        self.path, self.text, self.block = path, text, block
+    def __init__(self, path: tuple[str, ...], text: str, block: int, marks: tuple[int, ...]):
+        self.path, self.text, self.block, self.marks = path, text, block, marks
 
 
-def _apart(tag: str, rest: str, inside: tuple[str, ...]) -> tuple[bool, str]:
-    """Whether a tag opens a part of its own, and its name in the path."""
+def _apart(tag: str, rest: str, inside: tuple[str, ...]) -> tuple[bool, float, str]:
+    """Whether a tag opens a part of its own, the share of the content from which its marks do not count (0: no mark), and its name in the path."""
     name, apart = tag, tag in APART_TAGS or (tag == "header" and "article" not in inside and "main" not in inside)
-    if rest and "=" in rest or "hidden" in rest:
-        for m in _ATTRIBUTE.finditer(rest):
-            value = (m["a"] or m["b"] or m["c"] or "").lower()
-            kind = m["name"].lower()
-            if kind in ("hidden", "aria-hidden"):
-                apart |= kind == "hidden" or value == "true"
-            elif kind == "style":
-                apart |= "display:none" in value.replace(" ", "")
-            elif tag not in ("body", "html", "article", "main"):
-                apart |= bool(APART_WORDS & set(_SPLIT.split(value)))
-                name = f"{tag}.{value}"
-    return apart, name
+    limit = 0.5 if tag == "form" else 0.0
+    for m in _ATTRIBUTE.finditer(rest):
+        value = (m["a"] or m["b"] or m["c"] or "").lower()
+        kind = m["name"].lower()
+        if kind in ("hidden", "aria-hidden"):
+            apart |= kind == "hidden" or value == "true"
+        elif kind == "style":
+            apart |= "display:none" in value.replace(" ", "")
+        elif kind in ("class", "id", "role") and tag not in ("body", "html", "article", "main"):
+            words = {w.replace("_", "-") for w in value.split()}
+            if words & APART_WORDS or words & _COMPOUND:
+                limit = max(limit, 0.9 if any(w.split("-")[0] in LONG_WORDS for w in words) else 0.5)
+            name = f"{tag}.{value}"
+    return apart, limit, name
 
 
 def text_nodes(page: str) -> list[_Node]:
-    """Text outside parts set apart, with path and block number, in page order."""
-    stack: list[tuple[str, str, bool]] = []  # tag, name in the path, set apart
+    """Text outside parts set apart, with path and block number, in page order.
+
+    Tags set a part apart whatever it holds; a word of class, id or role, and a form, only if it does not hold most of the content.
+    """
+    stack: list[tuple[str, str, bool, int]] = []  # tag, name in the path, set apart, number of the mark or -1
     nodes, block, at = [], 0, 0
+    limits: list[float] = []
 
     def leave(k: int) -> None:
         del stack[k:]
@@ -80,7 +92,7 @@ def text_nodes(page: str) -> list[_Node]:
         if text and not (stack and any(s[2] for s in stack)):
             text = html.unescape(text)
             if text.strip() or (nodes and nodes[-1].block == block):
-                nodes.append(_Node(tuple(s[1] for s in stack), text, block))
+                nodes.append(_Node(tuple(s[1] for s in stack), text, block, tuple(s[3] for s in stack if s[3] >= 0)))
 
     for m in _TOKEN.finditer(page):
         if m.start() > at:
@@ -107,12 +119,28 @@ def text_nodes(page: str) -> list[_Node]:
                     break
                 if stack[i][0] in _FENCE:
                     break
-        apart, name = _apart(tag, m["rest"], tuple(s[0] for s in stack))
+        apart, limit, name = _apart(tag, m["rest"], tuple(s[0] for s in stack))
         if not m["rest"].endswith("/"):
-            stack.append((tag, name, apart))
+            stack.append((tag, name, apart, len(limits) if limit else -1))
+            if limit:
+                limits.append(limit)
     if at < len(page):
         add(page[at:])
-    return nodes
+    return _unmarked(nodes, limits)
+
+
+def _unmarked(nodes: list[_Node], limits: list[float]) -> list[_Node]:
+    """The nodes whose marks all are overruled, that is, open elements with more than such a share of the text of content paths."""
+    if not any(n.marks for n in nodes):
+        return nodes
+    chosen, held, total = content_paths(nodes), [0] * len(limits), 0
+    for n in nodes:
+        if n.path in chosen:
+            size = len(n.text.strip())
+            total += size
+            for k in n.marks:
+                held[k] += size
+    return [n for n in nodes if all(held[k] > limits[k] * total for k in n.marks)]
 
 
 def _smooth(x: np.ndarray, radius: int = 2) -> np.ndarray:

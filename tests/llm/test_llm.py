@@ -348,6 +348,17 @@ def test_html_container_is_the_whole_article():
         assert htmltext.main_text(page).split("\n\n") == ["Title", "before", *cells, "after"]
 
 
+def test_html_marks_are_whole_words_and_overruled_by_content():
+    body = "".join(f"<p>Paragraph {i} of the page, with text.</p>" for i in range(9))
+    text = "\n\n".join(f"Paragraph {i} of the page, with text." for i in range(9))
+    for wrapper in ("div class='content with-sidebar'", "div id=page class=no-sidebar", "div class='content sidebar'", "div class=widget", "form action='/p?id=search'"):
+        assert htmltext.main_text(f"<body><{wrapper}>{body}</{wrapper.split()[0]}></body>") == text
+    inner = "<h2 id='related-work'>Work</h2><section id='social-impact'><p>Impact, too.</p></section><p>Now <span class='share-price'>12</span> <a href='/hidden-valley'>x</a> <a title='a hidden gem'>y</a> <a href='/p?id=search'>z</a> <a href=/p?id=search>w</a> <i data-id=ad>v</i>.</p>"
+    assert htmltext.main_text(f"<article>{body}{inner}</article>") == text + "\n\nWork\n\nImpact, too.\n\nNow 12 x y z w v."
+    aside = "<div class='x ad'>Buy, now.</div><div id=site_footer>Us, only.</div><p hidden>a, b.</p><p aria-hidden='true'>c, d.</p><div class=comments>" + body[:180] + "</div><form>Mail, please.</form>"
+    assert htmltext.main_text(f"<body><div>{body}{aside}</div></body>") == text
+
+
 def test_token_counts(spark, docs, empty):
     import public_tokenizers as P
 
