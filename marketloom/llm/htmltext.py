@@ -46,6 +46,8 @@ _SHAPES = "area banner bar box buttons form links list notice popup posts sectio
 _COMPOUND = {f"{a}-{b}" for x, y in ((_PLACES, _THINGS), (_TOPICS, _SHAPES)) for a in x for b in y}
 #: Parts that are never a container, and blocks that belong to it from above.
 _PARTS = set("ul ol dl table".split())
+#: Elements that mark a box of the article as a part of it without punctuation.
+_KEEPS = set("header hgroup h1 h2 h3 h4 h5 h6 pre blockquote table figure dl math code".split())
 _LEADS = set("p h1 h2 h3 h4 h5 h6 blockquote".split())
 _TEXT_TAGS = set("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure".split())
 
@@ -198,6 +200,40 @@ def _kept(nodes: list[_Node], chosen: set[tuple[str, ...]]) -> list[bool]:
     return keep
 
 
+def _inside(nodes: list[_Node], chosen: set[tuple[str, ...]]) -> list[bool]:
+    """For article and main: chosen paths, their neighbours, and further boxes that read like text.
+
+    The home of a path is all before its first text element. Paths at home where a chosen path is, or on the way to it, are its
+    neighbours. What is left are boxes without any chosen path; one is dropped if half of its text is links, or if it has no
+    punctuation and nothing but bare text.
+    """
+    homes: dict[tuple[str, ...], tuple[str, ...]] = {}
+    for n in nodes:
+        if n.path not in homes:
+            tags = [_tag(name) for name in n.path]
+            start = next(i for i, tag in enumerate(tags) if tag in ("article", "main")) + 1
+            end = next((i for i in range(start, len(tags)) if tags[i] in _TEXT_TAGS or tags[i] in _KEEPS), len(tags))
+            while end > start and tags[end - 1] not in _BLOCK:
+                end -= 1
+            homes[n.path] = n.path[:end]
+    near = {()}
+    for home in {homes[p] for p in chosen}:
+        near.update(home[:k] for k in range(1, len(home) + 1))
+    boxes: dict[tuple[str, ...], list[int]] = {}
+    of: dict[tuple[str, ...], tuple[str, ...] | None] = {}
+    for p, home in homes.items():
+        of[p] = None if p in chosen or home in near else home[: next(k for k in range(1, len(home) + 1) if home[:k] not in near)]
+    for n in nodes:
+        if (box := of[n.path]) is not None:
+            tags = {_tag(name) for name in n.path[len(box) - 1 :]}
+            size = len(n.text.strip())
+            x = boxes.setdefault(box, [0, 0, 0])
+            x[0] += size
+            x[1] += size if "a" in tags else 0
+            x[2] += len(_PUNCTUATION.findall(n.text)) + bool(tags & _KEEPS)
+    return [(box := of[n.path]) is None or (2 * boxes[box][1] < boxes[box][0] and boxes[box][2] > 0) for n in nodes]
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, white space folded, joined by an empty line; '' if there is none."""
     nodes = text_nodes(page or "")
@@ -207,7 +243,7 @@ def main_text(page: str | None) -> str:
     if named:
         nodes = [nodes[i] for i in named]
     chosen = content_paths(nodes)
-    keep = [True] * len(nodes) if named else _kept(nodes, chosen)
+    keep = (_inside if named else _kept)(nodes, chosen)
     blocks: dict[int, list[str]] = {}
     for n, k in zip(nodes, keep, strict=True):
         if k:

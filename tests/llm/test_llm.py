@@ -359,6 +359,16 @@ def test_html_marks_are_whole_words_and_overruled_by_content():
     assert htmltext.main_text(f"<body><div>{body}{aside}</div></body>") == text
 
 
+def test_html_paths_choose_inside_the_article():
+    lines = [f"Paragraph {i} of the article, long enough to be chosen by its ratios, as it has marks, too." for i in range(8)]
+    body = "".join(f"<p>{x}</p>" for x in lines)
+    boxes = "<div class=tools><a href=/t>Tweet this</a> <a href=/m>Mail, now.</a></div><div class=offer77>Buy shoes</div><section class=more><ul><li><a href=/x>Read. This.</a></li></ul></section>"
+    short = "<header class=top><div>By me</div></header><p>So.</p><h2>Part</h2><div class=row><p>Short one.</p></div><div class=scroll><table><tr><td>1</td><td>2</td></tr></table></div><section class=impact><h3>Impact</h3></section>"
+    for around in ("article", "main"):
+        got = htmltext.main_text(f"<body><{around}><h1>Title</h1>{body}{boxes}{short}{body}</{around}></body>")
+        assert got.split("\n\n") == ["Title", *lines, "By me", "So.", "Part", "Short one.", "1", "2", "Impact", *lines]
+
+
 def test_token_counts(spark, docs, empty):
     import public_tokenizers as P
 
