@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|math|object|head|textarea|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|title|iframe|textarea)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
     re.I | re.S,
 )
@@ -33,7 +33,7 @@ _VOID = set("area base br col embed hr img input link meta param source track wb
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _FENCE = set("ul ol dl table article section div main body".split())
 #: Tags, and whole words of class, id or role, that set a part of a page apart from its article.
-APART_TAGS = set("nav aside footer button dialog menu label input option audio video canvas".split())
+APART_TAGS = set("nav aside footer button dialog menu label input option audio video canvas noscript template svg object select annotation annotation-xml".split())
 APART_WORDS = set(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer login masthead menu modal nav navbar navigation newsletter notice notices outbrain overlay pager pagination popup promo promotion reaction reactions related reply replies search share sharing sidebar signup skip social sponsor sponsored subscribe taboola toolbar widget contentinfo complementary alert".split()
 )

@@ -369,6 +369,15 @@ def test_html_paths_choose_inside_the_article():
         assert got.split("\n\n") == ["Title", *lines, "By me", "So.", "Part", "Short one.", "1", "2", "Impact", *lines]
 
 
+def test_html_raw_elements_end():
+    assert htmltext.main_text("<html><head><title>T</title><style>a</style><meta name=x><body><p>One, two.<p>Three.") == "One, two.\n\nThree."
+    assert htmltext.main_text("<head><title>T</title><script>x()</script><p>One, two.") == "One, two."
+    for empty in ("<svg class=i viewBox='0 0 1 1'/>", "<math/>", "<svg><path d='M0'/><title>t</title><text>no</text></svg>", "<svg><g><text>no</text></svg>"):
+        assert htmltext.main_text(f"<article><p>One, {empty} two.</p><p>Three.</p></article>") == "One, two.\n\nThree."
+    formula = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation encoding='application/x-tex'>x=1</annotation></semantics></math>"
+    assert htmltext.main_text(f"<article><p>So {formula}, here.</p></article>") == "So x=1, here."
+
+
 def test_token_counts(spark, docs, empty):
     import public_tokenizers as P
 
