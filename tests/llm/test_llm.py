@@ -410,6 +410,34 @@ def test_licenses(spark, docs, empty):
     assert got.where("doc_id = 2").count() == 1 and licenses.scan(empty).count() == 0
 
 
+def test_licenses_over_lines_and_inside_them(spark):
+    import textwrap
+
+    T = licenses.TEMPLATES
+    wrap = lambda name, lead: "\n".join(lead + x for x in textwrap.wrap(T[name], 60, break_on_hyphens=False))
+    prose = "some words of prose about nothing " * 60
+    texts = [
+        (1, "x y\n\n" + wrap("MIT grant", "// ") + "\n\nmore"),
+        (2, wrap("GPL-3.0 notice", " * ") + "\n" + wrap("Apache-2.0 notice", "# ")),
+        (3, "(c) 2024 X. Licensed under CC BY 4.0."),
+        (4, "Available under CC BY-SA 4.0."),
+        (5, prose + "Released under the MIT License. " + prose),
+        (6, "This work is licensed under the GNU General Public License, version 2."),
+        (7, "This work is licensed under the GNU General Public License, version 1."),
+        (8, "  " + wrap("BSD", "  ").replace("permitted", "allowed")),
+        (9, "a license\nb\nc license " + prose),
+        (10, "We redistribute\nthis free\nsoftware"),
+    ]
+    got = licenses.scan(spark.createDataFrame(texts, "doc_id long, text string"))
+    found = rows(got.where("confirmed"), "doc_id", "line", "license")
+    want = [(1, 2, "MIT grant"), (2, 0, "GPL-3.0 notice"), (2, 5, "Apache-2.0 notice"), (3, 0, "CC-BY-4.0"), (4, 0, "CC-BY-SA-4.0 mention"), (5, 0, "MIT"), (6, 0, "GPL-2.0"), (8, 0, "BSD")]
+    assert found == Counter(want)
+    assert rows(got.where("not confirmed"), "doc_id", "line") == Counter([(7, 0), (9, 0), (9, 2)])
+    for name, wording in T.items():  # each wording is found as itself, also in prose
+        for text in (wording, wrap(name, "# "), prose + wording + " " + prose):
+            assert [(x[2], x[-1]) for x in licenses._Scanner(T, 0.1).scan(text)] == [(name, True)], (name, text)
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries(spark, name):
     status, note, *_ = compare(spark, duck(SF), SF, name, queries.QUERIES[name], queries.ORACLES.get(name))
