@@ -205,15 +205,15 @@ def ml_04(spark, sf):
 
 @query("ml_05")
 def ml_05(spark, sf):
-    a = regressions(spark, sf, ["random_forest_regressor"], n_estimators=20).select("model", "n", F.col("RMSE").alias("value"), F.lit("RMSE").alias("metric"))
-    b = classifications(spark, sf, ["random_forest_classifier"], n_estimators=20).select("model", "n", F.col("Accuracy").alias("value"), F.lit("Accuracy").alias("metric"))
+    a = regressions(spark, sf, ["random_forest_regressor"]).select("model", "n", F.col("RMSE").alias("value"), F.lit("RMSE").alias("metric"))
+    b = classifications(spark, sf, ["random_forest_classifier"]).select("model", "n", F.col("Accuracy").alias("value"), F.lit("Accuracy").alias("metric"))
     return a.unionByName(b)
 
 
 @query("ml_06")
 def ml_06(spark, sf):
-    a = regressions(spark, sf, ["gbt_regressor"], n_estimators=10).select("model", "n", F.col("RMSE").alias("value"), F.lit("RMSE").alias("metric"))
-    b = classifications(spark, sf, ["gbt_classifier"], n_estimators=10).select("model", "n", F.col("Accuracy").alias("value"), F.lit("Accuracy").alias("metric"))
+    a = regressions(spark, sf, ["gbt_regressor"]).select("model", "n", F.col("RMSE").alias("value"), F.lit("RMSE").alias("metric"))
+    b = classifications(spark, sf, ["gbt_classifier"]).select("model", "n", F.col("Accuracy").alias("value"), F.lit("Accuracy").alias("metric"))
     return a.unionByName(b)
 
 
@@ -332,7 +332,7 @@ def ml_14(spark, sf):
 @query("ml_15")
 def ml_15(spark, sf):
     df = dataset(spark, sf)
-    out = M.search(df, "lasso", FEATS, "target_value", "prediction_time", M.candidates("lasso", 2), "RMSE", n_splits=2, gap=10)
+    out = M.search(df, "lasso", FEATS, "target_value", "prediction_time", M.candidates("lasso", 20), "RMSE", gap=10)
     return rounded(out, ["value"], 4)
 
 
@@ -341,7 +341,7 @@ def ml_16(spark, sf):
     train, valid, _ = splits(spark, sf)
     model = M.pipeline("linear_regression", FEATS, "target_value").fit(train)
     rows = materialize(valid.drop("partition"), "valid")
-    out = M.permutation_importance(model, rows, FEATS[:2], "target_value", ["symbol", "prediction_time"], repeats=2)
+    out = M.permutation_importance(model, rows, FEATS, "target_value", ["symbol", "prediction_time"])
     return rounded(out, ["importance_value", "importance_std"], 4)
 
 

@@ -186,7 +186,7 @@ def res_04(spark, sf):
 @query("res_05")
 def res_05(spark, sf):
     df = dataset(spark, sf, "classification_direction")
-    groups = {"A": FEATS[:1], "B": FEATS[1:3]}
+    groups = {"A": FEATS[:2], "B": FEATS[2:3], "C": FEATS[3:]}
     out = M.ablation(df, groups, "logistic_regression", "target_value", "prediction_time", train_window=1200, step=700, gap=20)
     return rounded(out, ["accuracy", "worst_fold", "increment"], 4)
 

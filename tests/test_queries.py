@@ -22,6 +22,24 @@ def test_query(spark, con, name):
     assert status in ("ok", "rows-only"), note
 
 
+def test_model_queries_use_all_features(spark, monkeypatch):
+    """The arguments only: the fits take minutes."""
+    from marketloom.plans import h_model_queries as h
+    from marketloom.plans import i_monitor_queries as i
+
+    got = {}
+    empty = spark.createDataFrame([], "importance_value double, importance_std double, accuracy double, worst_fold double, increment double")
+    monkeypatch.setattr(h, "splits", lambda *a: (empty, empty, empty))
+    monkeypatch.setattr(h, "materialize", lambda df, *a: df)
+    monkeypatch.setattr(h.M, "pipeline", lambda *a: type("P", (), {"fit": lambda self, df: None})())
+    monkeypatch.setattr(h.M, "permutation_importance", lambda model, df, features, *a, **kw: got.update(ml_16=(features, kw)) or empty)
+    monkeypatch.setattr(i, "dataset", lambda *a: empty)
+    monkeypatch.setattr(i.M, "ablation", lambda df, groups, *a, **kw: got.update(res_05=groups) or empty)
+    QUERIES["ml_16"](spark, SF)
+    QUERIES["res_05"](spark, SF)
+    assert got["ml_16"] == (h.FEATS, {}) and sum(got["res_05"].values(), []) == h.FEATS
+
+
 def test_flagship(spark):
     import __spark_entry__ as e
 
