@@ -246,6 +246,15 @@ def test_second_round_finds_links_that_stars_miss(spark):
     assert got == Counter(frozenset((a, b)) for a in range(12) for b in range(a))
 
 
+def test_margin_misses_less_than_the_banding():
+    from math import ceil, comb
+
+    n = minhash.MINIMA
+    for least in (int((0.8 - minhash.MARGIN) * n), ceil((0.8 - minhash.MARGIN) * n)):  # in the star round and in the second
+        missed = sum(comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(least))
+        assert missed < (1 - 0.8**minhash.ROWS) ** minhash.BANDS
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(k, k + 1) for k in range(1000, 1060)]
