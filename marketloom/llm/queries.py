@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import bpe, contamination, htmltext, licenses, linededup, minhash, quality, repeats, sharding, tokencounts
-from marketloom.llm.common import table
+from marketloom.llm import bpe, contamination, htmltext, licenses, linededup, merkle, minhash, quality, repeats, sharding, tokencounts
+from marketloom.llm.common import ascii_lower, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
@@ -72,6 +72,22 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents in a 16-ary manifest by source, and the roots that originals and altered texts fold to."""
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    altered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, merkle.row_digest(*[F.col(c) for c in fields[:-1]], ascii_lower(F.col("text"))))
+    manifest = merkle.build(table(spark, sf_dir, "documents"), fields, "doc_id", "source", carry={"altered": altered})
+    folded = merkle.fold(F.coalesce("altered", "leaf"), F.col("path"))
+    found = merkle.proofs(manifest).select("key", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof"), folded.alias("folded"))
+    return found.select(
+        F.col("key").alias("doc_id"),
+        *[merkle.hex_text(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")],
+        merkle.hex_text(F.col("proof")).alias("proof_sha256"),
+        merkle.hex_text(F.col("folded")).alias("folded_root"),
+        (F.col("folded") == F.col("root")).alias("verified"),
+    )
+
+
 def vocabulary_json(path: str | None = None) -> str:
     """The tokenizer file at `path`, by default the public word-level BPE of the installed vocabulary package."""
     if path is None:
@@ -102,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_bpe": op9_bpe,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_merkle": op11_merkle,
 }
 _CAPITALS = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
