@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import bpe, contamination, htmltext, licenses, linededup, merkle, minhash, quality, repeats, sharding, tokencounts
+from marketloom.llm import bpe, contamination, htmltext, licenses, linededup, merkle, minhash, multihash, quality, repeats, sharding, tokencounts
 from marketloom.llm.common import ascii_lower, table
 
 
@@ -88,6 +88,20 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, with their likeness to those and to the next documents'."""
+    found = multihash.next_edit_fingerprints(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        multihash.as_hex(F.col("lanes")).alias("fingerprint"),
+        multihash.as_hex(F.col("edited_lanes")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def vocabulary_json(path: str | None = None) -> str:
     """The tokenizer file at `path`, by default the public word-level BPE of the installed vocabulary package."""
     if path is None:
@@ -119,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_merkle": op11_merkle,
+    "op12_multiset_hash": op12_multiset_hash,
 }
 _CAPITALS = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
