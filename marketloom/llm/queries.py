@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import bpe, contamination, htmltext, licenses, linededup, merkle, minhash, multihash, quality, repeats, sharding, tokencounts
+from marketloom.llm import bpe, contamination, htmltext, licenses, linededup, merkle, minhash, multihash, quality, repair, repeats, sharding, tokencounts
 from marketloom.llm.common import ascii_lower, table
 
 
@@ -102,6 +102,24 @@ def op12_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with planted faults: by the CRC-32 of `conv_id:turn` modulo 20 a row is dropped (0), emptied (1), loses its
+    `.!?` (2), is repeated (3) or gets the role user (4). Nulls count as one blank."""
+    rows = conversations.select("conv_id", "turn", *[F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")])
+    key = F.concat(*[F.coalesce(F.col(c).cast("string"), F.lit(" ")) if c else F.lit(":") for c in ("conv_id", "", "turn")])
+    rows = rows.withColumn("_case", F.crc32(key) % 20).where("_case != 0")
+    text = F.when(F.col("_case") == 1, "").when(F.col("_case") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("_case") == 4, "user").otherwise(F.col("role"))
+    times = F.explode(F.when(F.col("_case") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("_time")
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), times).drop("_time")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, least cost and edits of every conversation with planted faults, and the digest of the repaired one."""
+    whole = table(spark, sf_dir, "conversations")
+    return repair.summaries(repair.repair(damaged(whole), whole.select("conv_id").distinct()))
+
+
 def vocabulary_json(path: str | None = None) -> str:
     """The tokenizer file at `path`, by default the public word-level BPE of the installed vocabulary package."""
     if path is None:
@@ -134,6 +152,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_merkle": op11_merkle,
     "op12_multiset_hash": op12_multiset_hash,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 _CAPITALS = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
