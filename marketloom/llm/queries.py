@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import bpe, contamination, htmltext, licenses, linededup, merkle, minhash, multihash, quality, repair, repeats, sharding, tokencounts
+from marketloom.llm import bpe, contamination, htmltext, licenses, linededup, merkle, minhash, multihash, oracle_sql, quality, repair, repeats, sharding, tokencounts
 from marketloom.llm.common import ascii_lower, table
 
 
@@ -189,4 +189,6 @@ WITH d AS (
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op11_merkle": oracle_sql.merkle(),
+    "op13_conversation_repair": oracle_sql.conversation_repair(),
 }
