@@ -9,8 +9,10 @@ from marketloom.plans.sqlviews import FACTS, MACRO, MARKET, NEWS, RETURNS, r, sq
 from marketloom.session import scratch_path
 from marketloom.sources import payloads as P
 from marketloom.sources import sinks as K
+from marketloom.sources import versions as W
 from marketloom.sources import views as V
 
+
 def now():
     return F.lit("2002-01-01 00:00:00").cast("timestamp")
 
@@ -136,12 +138,16 @@ def src_07(spark, sf):
 # --- keyed writes ----------------------------------------------------------------------------------
 
 
+def resent(batch, **earlier):
+    """The batch with an earlier, larger copy of every record in front of it: by `seq` the second one must win."""
+    return batch.withColumns(earlier).withColumn("seq", F.lit(1)).unionByName(batch.withColumn("seq", F.lit(2)))
+
+
 def later_bars(spark, sf):
     """Bars from mid-1998 on, revised, each sent twice; the second copy must win."""
-    bars = V.market_prices(spark, sf).where(F.col("ts") >= F.lit("1998-07-01").cast("date"))
-    first = bars.withColumn("seq", F.lit(1))
-    second = bars.withColumns({"close": F.col("close") + 1, "volume": F.col("volume") + 10, "seq": F.lit(2)})
-    return second.unionByName(first).withColumn("year", F.year("ts"))
+    bars = V.market_prices(spark, sf).where(F.col("ts") >= F.lit("1998-07-01").cast("date")).withColumn("year", F.year("ts"))
+    revised = bars.withColumns({"close": F.col("close") + 1, "volume": F.col("volume") + 10})
+    return resent(revised, close=F.col("close") + 100, volume=F.col("volume") + 1000)
 
 
 UPSERTED = """SELECT symbol, CAST(ts AS VARCHAR) AS ts, open, high, low, CASE WHEN ts >= DATE '1998-07-01' THEN close + 1 ELSE close END AS close,
@@ -151,10 +157,10 @@ UPSERTED = """SELECT symbol, CAST(ts AS VARCHAR) AS ts, open, high, low, CASE WH
 @query("snk_01", sql(MARKET, UPSERTED))
 def snk_01(spark, sf):
     path = scratch_path(spark, "prices")
-    bars = V.market_prices(spark, sf).where(F.col("ts") < F.lit("1999-01-01").cast("date")).withColumn("year", F.year("ts"))
+    bars = V.market_prices(spark, sf).where(F.col("ts") < F.lit("1999-01-01").cast("date")).withColumns({"year": F.year("ts"), "seq": F.lit(0)})
     keys, cols = ["symbol", "ts", "year"], ["open", "high", "low", "close", "volume"]
-    K.upsert_table(spark, path, bars, keys, cols, "year")
-    out = K.upsert_table(spark, path, later_bars(spark, sf), keys, cols, "year", ["seq"])
+    W.upsert_table(spark, path, bars, keys, cols, "year", ["seq"])
+    out = W.upsert_table(spark, path, later_bars(spark, sf), keys, cols, "year", ["seq"])
     return out.select("symbol", "ts", *cols)
 
 
@@ -162,15 +168,18 @@ def snk_01(spark, sf):
     "snk_02",
     sql(
         FACTS,
-        """SELECT accession_number, concept, CAST(end_date AS VARCHAR) AS end_date, CASE WHEN form_type = '10-K' THEN value + 5 ELSE value END AS value, CASE WHEN year(end_date) >= 2000 AND form_type = '10-K' THEN 'batch' ELSE 'table' END AS origin
-FROM filing_facts WHERE year(end_date) < 2000 OR form_type = '10-K'""",
+        """SELECT accession_number, concept, CAST(end_date AS VARCHAR) AS end_date, CASE WHEN form_type = '10-K' THEN value + 5 ELSE value END AS value,
+  CASE WHEN year(end_date) >= 2000 THEN 'batch' ELSE 'table' END AS origin FROM filing_facts""",
     ),
 )
 def snk_02(spark, sf):
+    """Facts before 2000 are in the table; the batch brings all later ones and revised annual ones of any year."""
     f = V.filing_facts(spark, sf)
-    old = f.where(F.year("end_date") < 2000).select("accession_number", "concept", "end_date", "value", F.lit("table").alias("origin"))
-    new = f.where(F.col("form_type") == "10-K").select("accession_number", "concept", "end_date", (F.col("value") + 5).alias("value"), F.lit("batch").alias("origin"))
-    return K.keyed_upsert(old, new, ["accession_number", "concept", "end_date"], ["value"])
+    cols, late = ["accession_number", "concept", "end_date"], F.year("end_date") >= 2000
+    old = f.where(~late).select(*cols, "value", F.lit("table").alias("origin"))
+    annual = F.col("form_type") == "10-K"
+    new = f.where(late | annual).select(*cols, F.when(annual, F.col("value") + 5).otherwise(F.col("value")).alias("value"), F.lit("batch").alias("origin"))
+    return W.keyed_upsert(old, resent(new, value=F.col("value") + 1000), cols, ["value"], ["seq"])
 
 
 @query(
@@ -186,7 +195,8 @@ def snk_03(spark, sf):
     cut = F.lit("1999-01-01").cast("date")
     old = m.withColumn("realtime_end", F.lit("9999-12-31").cast("date"))
     new = m.where(F.col("realtime_start") < cut).withColumn("realtime_end", F.lit("1999-12-31").cast("date"))
-    out = K.keyed_upsert(old, new, ["series_id", "observation_date", "realtime_start"], ["value", "realtime_end"])
+    new = resent(new, value=F.col("value") + 1, realtime_end=F.lit("2999-12-31").cast("date"))
+    out = W.keyed_upsert(old, new, ["series_id", "observation_date", "realtime_start"], ["value", "realtime_end"], ["seq"])
     return out.select("series_id", "observation_date", "realtime_start", "value", "realtime_end")
 
 
@@ -194,7 +204,7 @@ def snk_03(spark, sf):
 def snk_04(spark, sf):
     c = V.table(spark, sf, "customer").select(F.col("c_custkey").alias("cik"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
     new = c.where("cik % 3 = 0").select("cik", F.concat(F.upper("name"), F.lit(" INC")).alias("name"), F.lit("changed").alias("segment"))
-    return K.keyed_upsert(c, new, ["cik"], ["name"])
+    return W.keyed_upsert(c, resent(new, name=F.lit("zzz, the earlier name")), ["cik"], ["name"], ["seq"])
 
 
 @query(
@@ -209,7 +219,8 @@ def snk_05(spark, sf):
     """Strict form: the stored volume is not refreshed."""
     rows = V.returns(spark, sf).select("symbol", F.col("ts").alias("original_timestamp"), F.lit("v1.0").alias("dataset_version"), "close", "volume", "log_return")
     new = rows.where(F.col("original_timestamp") >= F.lit("2000-01-01").cast("date")).withColumns({"close": F.col("close") * 2, "volume": F.col("volume") + 99})
-    out = K.keyed_upsert(rows, new, ["symbol", "original_timestamp", "dataset_version"], ["close", "log_return"])
+    new = resent(new, close=F.col("close") * 9, log_return=F.lit(1e6))
+    out = W.keyed_upsert(rows, new, ["symbol", "original_timestamp", "dataset_version"], ["close", "log_return"], ["seq"])
     return out.withColumn("log_return", rnd("log_return", 8))
 
 
@@ -244,27 +255,34 @@ flag AS (SELECT *, CASE WHEN close IS NULL THEN 'missing_fields' WHEN high < low
     "snk_07",
     sql(
         MARKET, FACTS, MACRO, DEFECTIVE,
-        """SELECT 'market' AS dataset, count(*) AS received, count(*) FILTER (WHERE check_name IS NULL) AS stored, count(check_name) AS failures FROM flag
-UNION ALL SELECT 'filings', count(*), count(*), count(*) FILTER (WHERE concept = 'us-gaap:Assets' AND month(end_date) = 6) FROM filing_facts WHERE NOT (concept = 'us-gaap:NetIncomeLoss' AND form_type <> '10-K') AND NOT (concept = 'us-gaap:Liabilities' AND month(end_date) = 3)
-UNION ALL SELECT 'macro', count(*), count(*), count(*) FILTER (WHERE month(observation_date) = 2) FROM macro_obs WHERE month(observation_date) <> 8""",
+        """SELECT 'market' AS dataset, count(*) AS received, count(*) FILTER (WHERE check_name IS NULL) AS stored, count(check_name) AS failures,
+  CAST(sum(volume) FILTER (WHERE check_name IS NULL) AS BIGINT) AS total FROM flag
+UNION ALL SELECT 'filings', count(*), count(*), count(*) FILTER (WHERE concept = 'us-gaap:Assets' AND month(end_date) = 6),
+  CAST(sum(CAST(round(CASE WHEN concept = 'us-gaap:Assets' AND month(end_date) = 6 THEN NULL ELSE value END * 100) AS BIGINT)) AS BIGINT)
+  FROM filing_facts WHERE NOT (concept = 'us-gaap:NetIncomeLoss' AND form_type <> '10-K') AND NOT (concept = 'us-gaap:Liabilities' AND month(end_date) = 3)
+UNION ALL SELECT 'macro', count(*), count(*), count(*) FILTER (WHERE month(observation_date) = 2),
+  CAST(sum(CAST(round(CASE WHEN month(observation_date) = 2 THEN NULL ELSE value END * 100) AS BIGINT)) AS BIGINT) FROM macro_obs WHERE month(observation_date) <> 8""",
     ),
 )
 def snk_07(spark, sf):
-    """Parse, check, upsert and report, for the three datasets."""
+    """Parse, check, upsert records that are sent twice, and report, for the three datasets."""
     market = defective(P.daily_bars(daily_payloads(V.market_prices(spark, sf))))
     facts = P.mapped_facts(P.company_facts(fact_payloads(spark, sf)))
     facts = facts.withColumn("value", F.when(~((F.col("metric") == "Total Assets") & (F.month("end_date") == 6)), F.col("value")))
     macro = P.macro_observations(macro_payloads(spark, sf))
+    cents = lambda c: F.round(F.col(c) * 100).cast("bigint")
     jobs = [
-        ("market", Q.check_market(market).withColumn("year", F.year("ts")), ["symbol", "ts", "year"], ["open", "high", "low", "close", "volume"]),
-        ("filings", Q.check_filings(facts).withColumn("year", F.year("end_date")), ["accession_number", "concept", "end_date", "year"], ["value"]),
-        ("macro", Q.check_macro(macro).withColumn("year", F.year("observation_date")), ["series_id", "observation_date", "realtime_start", "year"], ["value", "realtime_end"]),
+        ("market", Q.check_market(market), "ts", ["symbol", "ts", "year"], ["open", "high", "low", "close", "volume"], "volume", F.col("volume")),
+        ("filings", Q.check_filings(facts), "end_date", ["accession_number", "concept", "end_date", "year"], ["value"], "value", cents("value")),
+        ("macro", Q.check_macro(macro), "observation_date", ["series_id", "observation_date", "realtime_start", "year"], ["value", "realtime_end"], "value", cents("value")),
     ]
     out = None
-    for name, checked, keys, update in jobs:
-        stored = K.upsert_table(spark, scratch_path(spark, name), Q.valid_rows(checked), keys, update, "year")
+    for name, checked, day, keys, update, measure, amount in jobs:
+        batch = resent(Q.valid_rows(checked).withColumn("year", F.year(day)), **{measure: F.col(measure) + 7})
+        stored = W.upsert_table(spark, scratch_path(spark, name), batch, keys, update, "year", ["seq"])
         seen = checked.agg(F.count(F.lit(1)).alias("received"), F.sum((F.size("findings") > 0).cast("bigint")).alias("failures")).withColumn("dataset", F.lit(name))
-        row = seen.join(stored.agg(F.count(F.lit(1)).alias("stored")).withColumn("dataset", F.lit(name)), "dataset").select("dataset", "received", "stored", "failures")
+        kept = stored.agg(F.count(F.lit(1)).alias("stored"), F.sum(amount).alias("total")).withColumn("dataset", F.lit(name))
+        row = seen.join(kept, "dataset").select("dataset", "received", "stored", "failures", "total")
         out = row if out is None else out.unionByName(row)
     return out
 

@@ -16,6 +16,7 @@ from marketloom.plans.registry import query
 from marketloom.plans.sqlviews import MARKET, NEWS, RETURNS, r, sql
 from marketloom.session import scratch_path
 from marketloom.sources import views as V
+from marketloom.sources.versions import read_table
 from marketloom.streaming import live
 
 
@@ -344,7 +345,7 @@ def st_03(spark, sf):
     for src in (first, then):
         stream = live.read_files(spark, src, spark.read.parquet(src).schema, 2)
         live.drain(live.upsert_stream(stream, table, keys, cols, "year", scratch_path(spark, "ck"), ["seq"]))
-    return spark.read.parquet(table).select("symbol", F.col("ts"), *cols)
+    return read_table(spark, table).select("symbol", "ts", *cols)
 
 
 @query(

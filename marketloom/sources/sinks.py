@@ -1,62 +1,9 @@
-"""Keyed writes on plain Parquet, the run ledger, and report sinks."""
+"""The run ledger and report sinks; keyed writes are in `versions`."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from marketloom.session import materialize
-
-
-def keyed_upsert(existing: DataFrame, batch: DataFrame, keys: list[str], update: list[str], order: list[str] | None = None) -> DataFrame:
-    """Existing rows with `update` columns taken from the batch where the key matches, plus new keys.
-
-    Inside a batch the last row by `order` wins. One map-side combined aggregation; applying the same
-    batch twice changes nothing.
-    """
-    cols = existing.columns
-    values = [c for c in cols if c not in keys]
-    seq = F.struct(*order) if order else F.struct(*[c for c in values])
-    old = existing.select(*cols, F.lit(0).alias("_new"), F.lit(None).cast(batch.select(seq.alias("s")).schema["s"].dataType).alias("_seq"))
-    new = batch.select(*cols, F.lit(1).alias("_new"), seq.alias("_seq"))
-    rows = old.unionByName(new).withColumn("_at", F.struct("_new", "_seq"))
-    packed = F.struct(*values)
-    merged = rows.groupBy(*keys).agg(F.max_by(packed, "_at").alias("_last"), F.min_by(packed, "_new").alias("_first"), F.min("_new").alias("_only_new"))
-    # a key that is new keeps the whole last row; a known key keeps its other columns
-    keep = lambda c: F.when(F.col("_only_new") == 0, F.col(f"_first.{c}")).otherwise(F.col(f"_last.{c}"))
-    return merged.select(*[c if c in keys else (F.col(f"_last.{c}") if c in update else keep(c)).alias(c) for c in cols])
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
-def upsert_table(spark: SparkSession, path: str, batch: DataFrame, keys: list[str], update: list[str], partition: str, order: list[str] | None = None) -> DataFrame:
-    """Upsert into a Parquet table partitioned by `partition` (a function of the key).
-
-    Only partitions named in the batch are read and replaced. The merged rows are written to the shared
-    scratch folder first, since a table cannot be read and overwritten in one job; a rerun after a failure
-    gives the same table.
-    """
-    schema = T.StructType([f for f in batch.schema.fields if order is None or f.name not in order or f.name in keys + update])
-    cols = [f.name for f in schema.fields]
-    if exists(spark, path):
-        touched = batch.select(partition).distinct()
-        existing = spark.read.schema(schema).parquet(path).join(touched, partition, "left_semi")
-    else:
-        existing = spark.createDataFrame([], schema)
-    merged = materialize(keyed_upsert(existing.select(*cols), batch, keys, update, order), "upsert")
-    # one file per task and partition at most: rows of a partition meet in a few tasks
-    (
-        merged.repartition(partition, F.pmod(F.xxhash64(*keys), F.lit(8)))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition)
-        .parquet(path)
-    )
-    return spark.read.schema(schema).parquet(path)
 
 
 def ledger_state(events: DataFrame, run: str = "run_id", order: list[str] = ("event_time",)) -> DataFrame:

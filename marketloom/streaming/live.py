@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from marketloom.operators.prepare import content_hash
 from marketloom.operators.validate import is_valid
-from marketloom.sources.sinks import upsert_table
+from marketloom.sources.versions import upsert_table
 
 
 def read_files(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -47,11 +47,12 @@ def dedup_stream(stream: DataFrame, out_path: str, checkpoint: str, at: str = "p
 
 
 def upsert_stream(stream: DataFrame, path: str, keys: list[str], update: list[str], partition: str, checkpoint: str, order: list[str]):
-    """Keyed upsert of each micro-batch; applying a batch again leaves the table as it is."""
+    """Keyed upsert of each micro-batch, one version a batch; the table remembers the last batch of each checkpoint folder, so a
+    batch that is sent again after a restart is not applied again."""
     spark = stream.sparkSession
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        upsert_table(spark, path, batch, keys, update, partition, order)
+        upsert_table(spark, path, batch, keys, update, partition, order, (checkpoint, epoch))
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -17,7 +17,7 @@ from marketloom.operators import text as T
 from marketloom.operators import validate as Q
 from marketloom.session import scratch_path
 from marketloom.sources import payloads as P
-from marketloom.sources import sinks as K
+from marketloom.sources import versions as W
 
 D = dt.date
 
@@ -82,9 +82,9 @@ def test_upsert_is_idempotent_and_last_wins(spark):
     two = spark.createDataFrame([("A", D(2020, 1, 1), 2020, 101.0, "second", 1), ("A", D(2020, 1, 1), 2020, 102.0, "third", 2), ("A", D(2020, 1, 2), 2020, 7.0, "new", 1)], schema)
     path = scratch_path(spark, "t")
     args = (["symbol", "ts", "year"], ["close"], "year", ["seq"])
-    K.upsert_table(spark, path, one.drop("seq").withColumn("seq", F.lit(0)), *args)
+    W.upsert_table(spark, path, one.drop("seq").withColumn("seq", F.lit(0)), *args)
     for _ in range(2):
-        out = K.upsert_table(spark, path, two, *args)
+        out = W.upsert_table(spark, path, two, *args)
         assert {(r.symbol, r.ts): (r.close, r.note) for r in out.collect()} == {("A", D(2020, 1, 1)): (102.0, "first"), ("A", D(2020, 1, 2)): (7.0, "new"), ("B", D(2021, 1, 1)): (5.0, "first")}
 
 
