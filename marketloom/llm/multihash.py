@@ -7,9 +7,9 @@ A paragraph's vector has three parts, so that sums serve equality and likeness a
   the same paragraphs with the same multiplicities, in any order.
 * the number of its word runs (a run starts at every word and has `RUN` words, fewer at the end of the paragraph; words of more
   than `LONG` bytes are cut into pieces of `PIECE` code points first);
-* `PACKED` sums modulo 2^60, each of three counters of 20 bits: how many runs have a 1 in some bit of their hash, which covers
-  the run and how often it stood in the paragraph before. Around half the number of runs such a counter is a sum of random
-  signs, so the squared difference of two fingerprints estimates in how many runs the texts differ.
+* `PACKED` sums modulo 2^60, each of three counters of 20 bits: how many runs have their hash, which covers the run and how
+  often it stood in the paragraph before, in one of `3 PACKED` equal ranges. Less the mean of all counters, the squared
+  difference of two fingerprints estimates in how many runs the texts differ.
 
 Vectors add and subtract, so paragraphs are put in or taken out of a fingerprint without the rest of the text, and fingerprints
 of parts make those of wholes. Everything is made of DataFrame functions.
@@ -27,11 +27,12 @@ from marketloom.llm.common import WORD, whole
 
 RUN, EXACT, PACKED = 3, 16, 40
 LONG, PIECE = 48, 8
-#: Steps of binary searches in the sorted runs of a paragraph.
+#: Steps of binary searches in sorted runs.
 _HALVES = [1 << k for k in reversed(range(30))]
 _EXACT_MASK = (1 << 32) - 1
 _FIELD, _FIELDS, _PACKED_MASK = 20, 3, (1 << 60) - 1
-_BITS = sum(1 << (_FIELD * k) for k in range(_FIELDS))
+#: First hashes of the counters' ranges, but for the first and past the last.
+_EDGES = [-(1 << 63) + (i << 64) // (_FIELDS * PACKED) for i in range(1, _FIELDS * PACKED)]
 _NOT_WORD = "[\\x20\\x09-\\x0D]+"
 #: The modulus of every lane less one: runs, packed counters, exact lanes.
 MASKS = [_PACKED_MASK] * (1 + PACKED) + [_EXACT_MASK] * EXACT
@@ -49,6 +50,15 @@ def _total(items: Column, value, mask: int) -> Column:
     return F.aggregate(items, F.lit(0).cast("long"), lambda acc, x: (acc + value(x)).bitwiseAND(F.lit(mask)))
 
 
+def _below(ascending: Column, halves: Column, x: Column) -> Column:
+    """How many items of a sorted array are less than x."""
+    return F.aggregate(halves, F.lit(0), lambda at, s: F.when(F.get(ascending, at + s - 1) < x, at + s).otherwise(at))
+
+
+def _halves(items: Column) -> Column:
+    return F.filter(F.array(*[F.lit(s) for s in _HALVES]), lambda s: s <= F.size(items))
+
+
 def fingerprint(text: Column) -> Column:
     """array<long> of `1 + PACKED + EXACT` lanes; a null text counts as empty, which is one empty paragraph."""
 
@@ -60,28 +70,31 @@ def fingerprint(text: Column) -> Column:
         return F.sort_array(F.transform(words, lambda w, i: F.xxhash64(w, *[F.get(words, i + k) for k in range(1, RUN)])))
 
     def told_apart(h: Column) -> Column:
-        def first(x: Column) -> Column:
-            return F.aggregate(F.array(*[F.lit(s) for s in _HALVES]), F.lit(0), lambda at, s: F.when(F.get(h, at + s - 1) < x, at + s).otherwise(at))
-
-        return F.transform(h, lambda x, i: F.xxhash64(x, F.when(F.get(h, i - 1) == x, i - first(x)).otherwise(0)))
+        return F.transform(h, lambda x, i: F.xxhash64(x, F.when(F.get(h, i - 1) == x, i - _below(h, _halves(h), x)).otherwise(0)))
 
     def lanes(paragraphs: Column) -> Column:
         words = F.transform(paragraphs, lambda p: F.filter(F.split(p, _NOT_WORD), lambda w: w != ""))
-        hashes = F.flatten(F.transform(F.transform(F.transform(words, cut), runs), told_apart))
+        hashes = F.sort_array(F.flatten(F.transform(F.transform(F.transform(words, cut), runs), told_apart)))
+
+        def counters(h: Column) -> Column:
+            edges = F.array(*[F.lit(e) for e in _EDGES])
+            inner = _bound(_halves(h), lambda halves: F.transform(edges, lambda e: _below(h, halves, e)))
+            ends = F.concat(F.array(F.lit(0)), inner, F.array(F.size(h)))
 
-        def packed(h: Column) -> Column:
-            again = F.transform(h, lambda x: F.xxhash64(x))
+            def count(at: Column, i: Column) -> Column:
+                return (F.get(at, i + 1) - F.get(at, i)).cast("long")
 
-            def counters(g: Column) -> list[Column]:
-                return [_total(x, lambda v, j=j: F.shiftrightunsigned(v, j).bitwiseAND(F.lit(_BITS)), _PACKED_MASK) for x in (h, g) for j in range(PACKED // 2)]
+            def packed(at: Column) -> Column:
+                firsts = F.array(*[F.lit(_FIELDS * j) for j in range(PACKED)])
+                return F.transform(firsts, lambda i: sum((F.shiftleft(count(at, i + k), _FIELD * k) for k in range(1, _FIELDS)), count(at, i)))
 
-            return _bound(again, lambda g: F.array(F.size(h).cast("long"), *counters(g)))
+            return F.concat(F.array(F.size(h).cast("long")), _bound(ends, packed))
 
         def exact(d: Column) -> Column:
             return F.array(*[_total(d, lambda x, i=i: F.xxhash64(x, F.lit(i)).bitwiseAND(F.lit(_EXACT_MASK)), _EXACT_MASK) for i in range(EXACT)])
 
         digests = F.transform(paragraphs, lambda p: F.sha2(p, 512))
-        return F.concat(_bound(hashes, packed), _bound(digests, exact))
+        return F.concat(_bound(hashes, counters), _bound(digests, exact))
 
     return _bound(F.split(whole(text), "\n", -1), lanes)
 
@@ -108,14 +121,15 @@ def as_hex(lanes: Column) -> Column:
     return F.lower(F.array_join(F.zip_with(lanes, digits, lambda x, d: F.lpad(F.hex(x), d, F.lit("0"))), ""))
 
 
-def _signs(lanes: Column) -> Column:
-    """Per counter, runs with a 1 less runs with a 0."""
+def _around_mean(lanes: Column) -> Column:
+    """The counters less their mean, times their number."""
     field = F.lit((1 << _FIELD) - 1)
 
-    def unpacked(x: Column) -> Column:
-        return F.flatten(F.transform(F.slice(x, 2, PACKED), lambda v: F.array(*[F.shiftright(v, _FIELD * k).bitwiseAND(field) * 2 - x[0] for k in range(_FIELDS)])))
+    def centred(x: Column) -> Column:
+        one = lambda v, k: F.shiftright(v, _FIELD * k).bitwiseAND(field) * (_FIELDS * PACKED) - x[0]
+        return F.flatten(F.transform(F.slice(x, 2, PACKED), lambda v: F.array(*[one(v, k) for k in range(_FIELDS)])))
 
-    return _bound(lanes, unpacked)
+    return _bound(lanes, centred)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -130,7 +144,7 @@ def likeness(a: Column, b: Column) -> Column:
         mass = square(pair["x"]) + square(pair["y"])
         return F.when(mass > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - apart / mass))).otherwise(0.0)
 
-    close = _bound(F.struct(_signs(a).alias("x"), _signs(b).alias("y")), compare)
+    close = _bound(F.struct(_around_mean(a).alias("x"), _around_mean(b).alias("y")), compare)
     return F.when(a == b, F.lit(1.0)).otherwise(close)
 
 
