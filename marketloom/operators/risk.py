@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.expr import TRADING_DAYS, div, series, so_far
-from marketloom.operators.stats import pair_statistics
+from marketloom.operators.pairs import pair_statistics
 
 ANNUAL = float(TRADING_DAYS) ** 0.5
 

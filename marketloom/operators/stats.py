@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from marketloom.functions.distributions import f_tail, normal_quantile, normal_tail, t_two_sided
 from marketloom.functions.expr import TRADING_DAYS, div, finite, series, so_far
 from marketloom.operators.ordering import cumulative, positions, quantiles
+from marketloom.operators.pairs import pair_statistics
 from marketloom.operators.windows import add_drawdown, add_rolling_volatility
 
 ANNUAL = float(TRADING_DAYS) ** 0.5
@@ -184,65 +185,6 @@ def outliers(df: DataFrame, by: list[str], x: str, bounded: bool = False) -> Dat
 
 # --- correlation -----------------------------------------------------------------------------------
 
-PAIR_SCHEMA = "a string, b string, n long, pearson double, spearman double, cov double"
-
-
-def _average_ranks(v: np.ndarray) -> np.ndarray:
-    _, inv, cnt = np.unique(v, return_inverse=True, return_counts=True)
-    return (np.cumsum(cnt) - (cnt - 1) / 2.0)[inv]
-
-
-def pair_statistics(
-    df: DataFrame, x: str = "log_return", by: str = "symbol", ts: str = "ts", diagonal: bool = False,
-    block: int = 128, rank: bool = True, blocks: int | None = None, keys: tuple[str, ...] = (),
-) -> DataFrame:
-    """Pair-complete n, Pearson r, Spearman rho and covariance for all symbols a < b.
-
-    A self-join on the day would emit every pair of every day. Instead symbols are hashed into blocks and
-    each pair of blocks is one task that holds about 2 x `block` daily series, so data is copied once per
-    block and the only all-pairs object is the result. String columns in `keys` separate the pairs.
-    """
-    rows = df.select(*keys, by, ts, F.col(x).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    if blocks is None:
-        blocks = max(1, -(-rows.agg(F.approx_count_distinct(by)).first()[0] // block))
-    rows = rows.withColumn("_b", F.pmod(F.xxhash64(by), F.lit(blocks)).cast("int"))
-    cells = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    rows = rows.withColumn("_o", cells).select(*keys, by, ts, "_x", "_b", F.least("_b", "_o").alias("_p"), F.greatest("_b", "_o").alias("_q"))
-
-    def cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        same = pdf["_p"].iat[0] == pdf["_q"].iat[0]
-        if pdf.duplicated([ts, by]).any():
-            raise ValueError(f"pairs need one row per {by} and {ts}")
-        wide = pdf.pivot(index=ts, columns=by, values="_x")
-        home = pdf.drop_duplicates(by).set_index(by)["_b"]
-        names, m = list(wide.columns), wide.to_numpy()
-        head = tuple(pdf[k].iat[0] for k in keys)
-        have = ~np.isnan(m)
-        out = []
-        for i, a in enumerate(names):
-            for j in range(i if diagonal else i + 1, len(names)):
-                if not same and (home[a] == home[names[j]]):
-                    continue
-                both = have[:, i] & have[:, j]
-                n = int(both.sum())
-                u, v = m[both, i], m[both, j]
-                stats = [None, None, None]
-                if n > 1:
-                    du, dv = u - u.mean(), v - v.mean()
-                    su, sv, suv = du @ du, dv @ dv, du @ dv
-                    stats[2] = suv / (n - 1)
-                    if su > 0 and sv > 0:
-                        stats[0] = suv / np.sqrt(su * sv)
-                        if rank:
-                            ru, rv = _average_ranks(u), _average_ranks(v)
-                            ru, rv = ru - ru.mean(), rv - rv.mean()
-                            stats[1] = (ru @ rv) / np.sqrt((ru @ ru) * (rv @ rv))
-                out.append((*head, a, names[j], n, *stats))
-        return pd.DataFrame(out, columns=[*keys, "a", "b", "n", "pearson", "spearman", "cov"]).astype({"pearson": float, "spearman": float, "cov": float})
-
-    return rows.groupBy(*keys, "_p", "_q").applyInPandas(cell, "".join(f"{k} string, " for k in keys) + PAIR_SCHEMA).replace(float("nan"), None, ["pearson", "spearman", "cov"])
-
-
 def correlation_p(r: str, n: str) -> Column:
     """Two-sided p of a correlation; a perfect one has p = 0."""
     t = F.abs(F.col(r)) * F.sqrt((F.col(n) - 2) / F.nullif(1 - F.col(r) ** 2, F.lit(0.0)))
@@ -250,8 +192,9 @@ def correlation_p(r: str, n: str) -> Column:
 
 
 def pairwise_correlations(df: DataFrame, **kw) -> DataFrame:
-    """Pearson and Spearman with p values; pairs with fewer than 30 common days are only listed."""
-    p = pair_statistics(df, **kw)
+    """Pearson and Spearman with p values; pairs with fewer than 30 common days are only listed (and left out by `top` and
+    `threshold`)."""
+    p = pair_statistics(df, enough=MIN_SAMPLE, **kw)
     enough = F.col("n") >= MIN_SAMPLE
     return p.select(
         "a", "b", "n",
@@ -414,7 +357,7 @@ def eda_report(df: DataFrame, market_macro: DataFrame | None = None, indicators:
     rows = df.where(F.col("log_return").isNotNull())
     prof = profile(df, by)
     dist = describe(rows, [by], "log_return", bounded=True).join(jarque_bera(rows, [by], "log_return").drop("n"), by)
-    pairs = pairwise_correlations(df, by=by)
+    pairs = pairwise_correlations(df, by=by, top=10)
     partners = F.explode(F.array(F.struct(F.col("a").alias(by), F.col("b").alias("other")), F.struct(F.col("b").alias(by), F.col("a").alias("other"))))
     # ten strongest partners: the map side prunes to ten rows per symbol, so the list is bounded
     ranked = pairs.select(partners.alias("k"), "pearson_r", "n").select("k.*", "pearson_r", "n").where(F.col("pearson_r").isNotNull())

@@ -179,10 +179,10 @@ def stat_10(spark, sf):
     return df.select("a", "b", "n", rnd("pearson_r").alias("pearson_r"), rnd("pearson_p").alias("pearson_p"), "status")
 
 
-@query("stat_11", sql(RETURNS, RET, PAIRS, f"SELECT a, b, n, {r('rho')} AS spearman_rho, {r(rho_p('rho'))} AS spearman_p FROM cr WHERE n >= 30"))
+@query("stat_11", sql(RETURNS, RET, PAIRS, f"SELECT a, b, n, CASE WHEN n >= 30 THEN {r('rho')} END AS spearman_rho, CASE WHEN n >= 30 THEN {r(rho_p('rho'))} END AS spearman_p, CASE WHEN n >= 30 THEN 'OK' ELSE 'Insufficient Data' END AS status FROM cr"))
 def stat_11(spark, sf):
-    df = S.pairwise_correlations(V.returns(spark, sf)).where("n >= 30")
-    return df.select("a", "b", "n", rnd("spearman_rho").alias("spearman_rho"), rnd("spearman_p").alias("spearman_p"))
+    df = S.pairwise_correlations(V.returns(spark, sf))
+    return df.select("a", "b", "n", rnd("spearman_rho").alias("spearman_rho"), rnd("spearman_p").alias("spearman_p"), "status")
 
 
 @query("stat_12", sql(RETURNS, RET, PAIRS, f"SELECT a, b, {r('pearson')} AS r FROM cr UNION ALL SELECT b, a, {r('pearson')} FROM cr UNION ALL SELECT DISTINCT symbol, symbol, 1.0::DOUBLE FROM lr"))
