@@ -14,10 +14,10 @@ from marketloom.plans.g_text_queries import FEEL_OK, FOUND_OK, RESOLVED, TOPICS_
 from marketloom.plans.h_model_queries import FEATS, dataset
 from marketloom.plans.registry import query
 from marketloom.plans.sqlviews import MARKET, NEWS, RETURNS, r, sql
-from marketloom.session import scratch_path
+from marketloom.session import materialize, scratch_path
 from marketloom.sources import views as V
 from marketloom.sources.versions import read_table
-from marketloom.streaming import live
+from marketloom.streaming import keyed, live
 
 
 def at(s):
@@ -323,17 +323,97 @@ def st_01(spark, sf):
     return part(ok, "valid").unionByName(part(bad, "rejected"))
 
 
+def in_turns(spark, arrivals, start, path):
+    """Lands the arrivals turn by turn (column `turn`) and runs the stream on each, from the checkpoint of the one before. Returns
+    the table and a side table of the rows that came too late."""
+    src, ck, queries = scratch_path(spark, "in"), scratch_path(spark, "ck"), []
+    arrivals = materialize(arrivals, "arrivals")
+    schema = arrivals.drop("turn").schema
+    for turn in range(arrivals.agg(F.coalesce(F.max("turn"), F.lit(-1)).alias("t")).first().t + 1):
+        arrivals.where(F.col("turn") == turn).drop("turn").write.mode("append").parquet(src)
+        queries.append(start(live.read_files(spark, src, schema), path, ck))
+        live.drain(queries[-1])
+    late = scratch_path(spark, "late")
+    spark.createDataFrame(keyed.late_rows(queries), keyed.LATE).write.parquet(late)  # a row per micro-batch
+    return read_table(spark, path), spark.read.parquet(late)
+
+
+def with_late(table, late):
+    """The rows, and the number that came too late beside each."""
+    return table.withColumn("late_rows", late.agg(F.sum("late_rows").alias("n")).scalar())
+
+
+#: Turns of two years; some articles come a turn late, a third is published again 0 to 400 days later.
+ARRIVALS = """sent AS (SELECT article_id, title, url, source_name, published_at FROM news
+  UNION ALL SELECT article_id + 1000000000, title, url, source_name, published_at + to_days(CAST((article_id % 5) * 100 AS INTEGER)) FROM news WHERE article_id % 3 = 0),
+arrivals AS (SELECT *, least((year(published_at) - 1995) // 2 + CASE WHEN article_id % 50 = 7 THEN 1 ELSE 0 END, 3) AS turn, sha256(lower(title || '|' || url || '|' || source_name)) AS content_hash FROM sent),
+marks AS (SELECT t.turn, max(a.published_at) - INTERVAL 7 DAY AS mark FROM (SELECT DISTINCT turn FROM arrivals) t LEFT JOIN arrivals a ON a.turn < t.turn GROUP BY t.turn),
+judged AS (SELECT a.*, mark IS NOT NULL AND published_at <= mark AS late FROM arrivals a JOIN marks USING (turn)),
+passed AS (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY published_at, article_id) AS k FROM judged
+  WHERE NOT late AND published_at <= (SELECT max(published_at) - INTERVAL 7 DAY FROM arrivals)),
+decided AS (SELECT content_hash, k, article_id, published_at, article_id AS first_id, published_at AS first_at FROM passed WHERE k = 1
+  UNION ALL SELECT p.content_hash, p.k, p.article_id, p.published_at, if(p.published_at > first_at + INTERVAL 365 DAY, p.article_id, first_id), if(p.published_at > first_at + INTERVAL 365 DAY, p.published_at, first_at)
+  FROM decided d JOIN passed p ON p.content_hash = d.content_hash AND p.k = d.k + 1)"""
+
+
 @query(
     "st_02",
-    sql(NEWS, "SELECT DISTINCT sha256(lower(title || '|' || url || '|' || source_name)) AS content_hash FROM news"),
+    "WITH RECURSIVE " + NEWS + "," + ARRIVALS + """ SELECT content_hash, article_id, CASE WHEN article_id = first_id THEN 'NEW' ELSE 'DUPLICATE' END AS decision, first_id AS canonical_article_id,
+  (SELECT count(*) FROM judged WHERE late) AS late_rows FROM decided""",
 )
 def st_02(spark, sf):
-    """The watermark covers the whole history here, so the stream keeps one article per hash."""
-    src = landed(spark, V.news(spark, sf), "in", "article_id")
-    out = scratch_path(spark, "dedup")
-    stream = live.read_files(spark, src, spark.read.parquet(src).schema, 2)
-    live.drain(live.dedup_stream(stream, out, scratch_path(spark, "ck"), delay="4000 days"))
-    return spark.read.parquet(out).select("content_hash")
+    """State of a hash lives for a year after its first article; the watermark is a week behind."""
+    n = V.news(spark, sf).select("article_id", "published_at", prepare.content_hash().alias("content_hash"))
+    again = n.where("article_id % 3 = 0")
+    again = again.withColumns({"published_at": F.col("published_at") + F.make_dt_interval(((F.col("article_id") % 5) * 100).cast("int")), "article_id": F.col("article_id") + 1_000_000_000})
+    sent = n.unionByName(again)
+    turn = F.floor((F.year("published_at") - 1995) / 2) + F.when(F.col("article_id") % 50 == 7, 1).otherwise(0)
+    sent = sent.withColumn("turn", F.least(turn, F.lit(3)).cast("int"))
+
+    def start(stream, path, ck):
+        decisions = keyed.first_articles(stream, ttl_days=365, delay="7 days").withColumn("year", F.year("published_at"))
+        return keyed.run(spark, decisions, path, ck, ["article_id", "year"], ["published_at"], "year")
+
+    return with_late(*in_turns(spark, sent, start, scratch_path(spark, "dedup"))).select("content_hash", "article_id", "decision", "canonical_article_id", "late_rows")
+
+
+#: Turns of ten days; some signals come a turn late. An alert ends by a signal that does not fire or after six hours without one.
+SIGNALS = """arrivals AS (SELECT 'type_' || event_type AS metric, 'group_' || CAST(user_id % 5 AS VARCHAR) AS source, value > 40 AS firing, value, ts, event_id,
+  least((day(ts) - 1) // 10 + CASE WHEN event_id % 40 = 3 THEN 1 ELSE 0 END, 2) AS turn FROM events),
+marks AS (SELECT t.turn, date_trunc('millisecond', max(a.ts)) - INTERVAL 1 DAY AS mark FROM (SELECT DISTINCT turn FROM arrivals) t LEFT JOIN arrivals a ON a.turn < t.turn GROUP BY t.turn),
+judged AS (SELECT a.*, mark IS NOT NULL AND ts <= mark AS late FROM arrivals a JOIN marks USING (turn)),
+ending AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY AS hi FROM arrivals),
+passed AS (SELECT judged.*, hi, date_trunc('millisecond', ts) AS ms FROM judged, ending WHERE NOT late AND ts <= hi),
+near AS (SELECT *, lag(firing) OVER w AS before, lag(ms) OVER w AS ms_before, lead(firing) OVER w AS after, lead(ms) OVER w AS ms_after, lead(ts) OVER w AS ts_after FROM passed WINDOW w AS (PARTITION BY metric, source ORDER BY ts, event_id)),
+runs AS (SELECT *, sum(CASE WHEN before AND ms_before + INTERVAL 6 HOUR >= ms THEN 0 ELSE 1 END) OVER (PARTITION BY metric, source ORDER BY ts, event_id) AS run FROM near WHERE firing),
+alerts AS (SELECT metric, source, min(ts) AS opened_at, max(ts) AS last_at, max(ms) + INTERVAL 6 HOUR AS silent_at, arg_max(value, (ts, event_id)) AS observed_value, arg_max_null(after, (ts, event_id)) AS after,
+  arg_max_null(ms_after, (ts, event_id)) AS ms_after, arg_max_null(ts_after, (ts, event_id)) AS ts_after, count(*) AS n, max(hi) AS hi FROM runs GROUP BY metric, source, run),
+ended AS (SELECT *, CASE WHEN silent_at < coalesce(ms_after, hi) THEN silent_at WHEN ms_after IS NOT NULL THEN ts_after END AS resolved_at FROM alerts)"""
+
+
+@query(
+    "mon_05_stream",
+    "WITH " + SIGNALS + """ SELECT metric, source, CAST(opened_at AS VARCHAR) AS opened_at, observed_value, CASE WHEN observed_value > 100 THEN 'CRITICAL' ELSE 'WARNING' END AS severity,
+  CAST(coalesce(resolved_at, last_at) AS VARCHAR) AS timestamp, CASE WHEN resolved_at IS NULL THEN 'ACTIVE' ELSE 'RESOLVED' END AS status, n + CASE WHEN resolved_at IS NULL THEN 0 ELSE 1 END AS changes,
+  (SELECT count(*) FROM judged WHERE late) AS late_rows FROM ended""",
+)
+def mon_05_stream(spark, sf):
+    """Alerts as a state machine over the events as they arrive."""
+    e = V.table(spark, sf, "events")
+    value = F.col("value")
+    sent = e.select(
+        F.concat(F.lit("type_"), "event_type").alias("metric"), F.concat(F.lit("group_"), (F.col("user_id") % 5).cast("string")).alias("source"), (value > 40).alias("is_firing"), value.alias("observed_value"),
+        F.lit(40.0).alias("threshold"), F.when(value > 100, "CRITICAL").otherwise("WARNING").alias("severity"), F.format_string("%s at %.2f", "event_type", value).alias("message"),
+        F.col("ts").cast("timestamp").alias("signal_time"), F.col("event_id").alias("signal_id"),
+        F.least(F.floor((F.dayofmonth("ts") - 1) / 10) + F.when(F.col("event_id") % 40 == 3, 1).otherwise(0), F.lit(2)).cast("int").alias("turn"),
+    )
+
+    def start(stream, path, ck):
+        changes = keyed.alert_changes(stream, silence_days=0.25, delay="1 day").withColumn("month", F.date_format("opened_at", "yyyy-MM"))
+        return keyed.run(spark, changes, path, ck, ["alert_id", "month"], ["changes"], "month")
+
+    table, late = in_turns(spark, sent, start, scratch_path(spark, "alerts"))
+    return with_late(table, late).select("metric", "source", "opened_at", "observed_value", "severity", "timestamp", "status", "changes", "late_rows")
 
 
 @query("st_03", sql(MARKET, UPSERTED))
