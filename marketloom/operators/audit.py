@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.expr import finite
+from marketloom.operators.neighbours import neighbour_information
 from marketloom.operators.ordering import positions, quantiles
 from marketloom.operators.pit import leakage_report
 from marketloom.session import materialize
@@ -60,8 +61,8 @@ def complete_rows(df: DataFrame, features: list[str], target: str) -> DataFrame:
 def mutual_information(df: DataFrame, features: list[str], target: str, bins: int = 10, by: list[str] = (), corrected: bool = False) -> DataFrame:
     """Mutual information of quantile-binned feature and target, in nats.
 
-    A binned estimate replaces the nearest-neighbour one: it needs counts only, so it distributes. It is
-    biased upward by about (cells)/(2n); `corrected` subtracts that.
+    A cheaper estimate than `neighbour_information`: it needs counts only. It is biased upward by about (cells)/(2n);
+    `corrected` subtracts that.
     """
     by = list(by)
     probs = {f"_e{i}": i / bins for i in range(1, bins)}
@@ -117,10 +118,11 @@ def temporal_stability(df: DataFrame, features: list[str], target: str, at: str,
     return mi.groupBy("feature").agg(F.count_if(ok).alias("stable_folds")).withColumn("is_stable", F.col("stable_folds") >= need)
 
 
-def select_features(df: DataFrame, features: list[str], target: str, at: str, correlation: float = 0.85) -> DataFrame:
-    """SELECTED or REJECTED with the reason, per feature. Stability needs more than 100 rows."""
+def select_features(df: DataFrame, features: list[str], target: str, at: str, correlation: float = 0.85, estimator: str = "neighbours") -> DataFrame:
+    """SELECTED or REJECTED with the reason, per feature. Stability needs more than 100 rows. The information of a feature is
+    estimated by nearest neighbours, or with `estimator="bins"` from the counts of quantile bins."""
     clean = materialize(complete_rows(df, features, target), "selection")
-    mi = mutual_information(clean, features, target)
+    mi = neighbour_information(clean, features, target) if estimator == "neighbours" else mutual_information(clean, features, target)
     lost = redundant(clean, features, mi, correlation)
     stable = temporal_stability(clean, features, target, at)
     j = mi.join(lost, "feature", "left").join(stable, "feature", "left")

@@ -5,6 +5,7 @@ from marketloom.operators import audit as A
 from marketloom.operators import features as X
 from marketloom.operators import models as M
 from marketloom.operators import pit
+from marketloom.operators.neighbours import neighbour_information
 from marketloom.plans.c_join_queries import BOUNDS, TARGETS
 from marketloom.plans.registry import query
 from marketloom.plans.sqlviews import MARKET, SCORES, r, sql
@@ -92,6 +93,30 @@ def aud_02(spark, sf):
     return rounded(A.mutual_information(df, MI_FEATS, "target"), ["mutual_information"], 5)
 
 
+DIGAMMA = "(ln({0} + 12.0::DOUBLE) - 1 / (2.0::DOUBLE * ({0} + 12)) - 1 / (12.0::DOUBLE * ({0} + 12) ** 2) + 1 / (120.0::DOUBLE * ({0} + 12) ** 4) - 1 / (252.0::DOUBLE * ({0} + 12) ** 6) + 1 / (240.0::DOUBLE * ({0} + 12) ** 8) - list_sum(list_transform(range(12), lambda i: 1.0::DOUBLE / ({0} + i))))"
+#: The estimator with all pairs of points of a symbol.
+NEAREST = (
+    "lg AS (" + " UNION ALL ".join(f"SELECT symbol, '{c}' AS feature, ts, {c} AS x, target AS y FROM dt" for c in MI_FEATS) + "),"
+    """sc AS (SELECT symbol, feature, ts, x / stddev_pop(x) OVER g AS x, y / stddev_pop(y) OVER g AS y, count(*) OVER g AS n FROM lg WINDOW g AS (PARTITION BY symbol, feature)),
+rd AS (SELECT a.symbol, a.feature, a.ts, min(greatest(abs(a.x - b.x), abs(a.y - b.y)), 4)[4] AS r FROM sc a JOIN sc b USING (symbol, feature) GROUP BY 1, 2, 3),
+nr AS (SELECT a.symbol, a.feature, a.ts, max(a.n) AS n, count(*) FILTER (WHERE abs(a.x - b.x) < r OR (r = 0 AND a.x = b.x)) AS nx, count(*) FILTER (WHERE abs(a.y - b.y) < r OR (r = 0 AND a.y = b.y)) AS ny
+  FROM sc a JOIN rd USING (symbol, feature, ts) JOIN sc b ON b.symbol = a.symbol AND b.feature = a.feature GROUP BY 1, 2, 3)"""
+)
+
+
+@query(
+    "aud_02_neighbours",
+    sql(
+        MARKET, DATA, NEAREST,
+        f"""SELECT symbol, feature, max(n) AS n, {r(f"greatest({DIGAMMA.format('max(n)')} + {DIGAMMA.format('3')} - avg({DIGAMMA.format('nx')} + {DIGAMMA.format('ny')}), 0)", 5)} AS mutual_information FROM nr GROUP BY symbol, feature""",
+    ),
+)
+def aud_02_neighbours(spark, sf):
+    """By symbol, so that the SQL can look at all pairs."""
+    df = materialize(mi_data(spark, sf), "mi")
+    return rounded(neighbour_information(df, MI_FEATS, "target", ["symbol"]), ["mutual_information"], 5)
+
+
 @query(
     "aud_03",
     sql(
