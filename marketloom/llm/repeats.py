@@ -2,8 +2,10 @@
 
 A byte goes if it lies in a string of LENGTH bytes that also starts elsewhere, in the same or another text.
 
-1. Texts are marked at content-defined positions: any LENGTH bytes hold a mark of their own. Only the surroundings of marks
-   that occur twice can hold a repeat; these regions are cut out of the texts, and nothing is lost by that.
+1. Texts are marked at content-defined positions: any LENGTH bytes hold a mark of their own. Marks of one kind that follow each
+   other closely, as in periodic texts, are kept as one stretch. Only the surroundings of marks that occur twice can hold a
+   repeat; these regions are cut out of the texts, and nothing is lost by that. Long regions are cut into pieces that overlap
+   by LENGTH - 1 bytes, so that every string lies in one piece and starts there only.
 2. Regions are sorted by their marks, so that similar ones are neighbours, and gathered into blocks of bounded size. Each
    block gets its suffix array and common prefixes, which give the repeats inside it.
 3. Across blocks: where a mark occurs in several, the strings around it are given out as sorted fingerprints (96 bits),
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.anchors import gram_hashes, winnow
+from marketloom.llm.anchors import gram_hashes_at, marks, runs
 from marketloom.llm.common import store, whole
 from marketloom.llm.suffixes import common_prefixes, suffix_array
 
@@ -31,8 +33,10 @@ LENGTH = 400
 BLOCK_BYTES = 2_500_000
 
 _TEXT = ["th1", "th2"]
-_MARK = pa.struct([("h", pa.int64()), ("p", pa.int32())])
-_MARKED = "doc_id bigint, th1 bigint, th2 bigint, n_bytes bigint, sha256 string, marks array<struct<h:bigint,p:int>>"
+#: Hash, first and last place of a stretch of equal marks.
+_MARK = pa.struct([("h", pa.int64()), ("p", pa.int32()), ("q", pa.int32())])
+_MARKS = "array<struct<h:bigint,p:int,q:int>>"
+_MARKED = f"doc_id bigint, th1 bigint, th2 bigint, n_bytes bigint, sha256 string, marks {_MARKS}"
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -44,53 +48,75 @@ def _mark(length: int):
     gram = length // 2
     window = length - gram + 1
 
+    def found_in(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return marks(data, gram, window)
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in it:
-            n_bytes, sha, sizes, hashes, places = [], [], [], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            n_bytes, sha, sizes = [], [], []
+            found = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))]
             for t in rows.column("bytes"):
                 data = t.as_buffer()
                 n_bytes.append(len(data))
                 sha.append(hashlib.sha256(data).hexdigest())
-                h = gram_hashes(np.frombuffer(data, np.uint8), gram) if len(data) >= length else np.empty(0, np.uint64)
-                p = winnow(h, window)
-                sizes.append(len(p))
-                hashes.append(h[p])
-                places.append(p)
-            marks = pa.StructArray.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(places), pa.int32())], fields=list(_MARK))
+                found.append(runs(*found_in(np.frombuffer(data, np.uint8) if len(data) >= length else np.empty(0, np.uint8)), window))
+                sizes.append(len(found[-1][0]))
+            h, p, q = (np.concatenate(x) for x in zip(*found, strict=True))
+            stretches = pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(p, pa.int32()), pa.array(q, pa.int32())], fields=list(_MARK))
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
             yield pa.record_batch(
                 {
                     **{c: rows.column(c) for c in ("doc_id", *_TEXT)},
                     "n_bytes": pa.array(n_bytes, pa.int64()),
                     "sha256": pa.array(sha, pa.string()),
-                    "marks": pa.ListArray.from_arrays(offsets, marks),
+                    "marks": pa.ListArray.from_arrays(offsets, stretches),
                 }
             )
 
     return run
 
 
-_REGION = "struct<start:int,stop:int,key:bigint,marks:array<struct<h:bigint,p:int>>>"
+_REGION = f"struct<start:int,stop:int,key:bigint,marks:{_MARKS}>"
 
 
-def _regions(length: int):
-    """Texts with their repeated marks: the stretches around these, each with its marks, places counted from its start."""
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("key", pa.int64()), ("marks", pa.list_(_MARK))]))
+def pieces(stretches: list[dict], n: int, length: int, most: int) -> list[dict]:
+    """The surroundings of marks in a text of n bytes, cut into pieces of at most `most` bytes: start, stop, the marks of each
+    (places counted from its start) and the least of their hashes. Pieces of a region overlap by `length - 1` bytes."""
     gram = length // 2
+    regions: list[dict] = []
+    for m in sorted(stretches, key=lambda m: m["p"]):
+        start, stop = max(0, m["p"] + gram - length), min(n, m["q"] + length)
+        if regions and start <= regions[-1]["stop"]:
+            regions[-1]["stop"] = max(regions[-1]["stop"], stop)
+        else:
+            regions.append({"start": start, "stop": stop, "marks": []})
+        regions[-1]["marks"].append(m)
+    out = []
+    for r in regions:
+        own, first = r["marks"], 0
+        for start in range(r["start"], max(r["start"] + 1, r["stop"] - length + 1), most - length + 1):
+            stop = min(r["stop"], start + most)
+            while first < len(own) and own[first]["q"] < start and own[first]["p"] < start:
+                first += 1
+            here = []
+            for m in own[first:]:
+                if m["p"] > stop - gram:
+                    break
+                p, q = max(m["p"], start), min(m["q"], stop - gram)
+                if p <= q:
+                    here.append({"h": m["h"], "p": p - start, "q": q - start})
+            if here and stop - start >= length:
+                out.append({"start": start, "stop": stop, "key": min(m["h"] for m in here), "marks": here})
+    return out
+
+
+def _regions(length: int, most: int):
+    """Texts with their repeated marks: the pieces around these."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("key", pa.int64()), ("marks", pa.list_(_MARK))]))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in it:
-            out = []
-            for marks, text in zip(rows.column("marks").to_pylist(), rows.column("bytes"), strict=True):
-                n, own = len(text.as_buffer()), []
-                for m in sorted(marks, key=lambda m: m["p"]):
-                    start, stop = max(0, m["p"] + gram - length), min(n, m["p"] + length)
-                    if own and start <= own[-1]["stop"]:
-                        own[-1]["stop"] = max(own[-1]["stop"], stop)
-                    else:
-                        own.append({"start": start, "stop": stop, "marks": []})
-                    own[-1]["marks"].append({"h": m["h"], "p": m["p"] - own[-1]["start"]})
-                out.append([r | {"key": min(m["h"] for m in r["marks"])} for r in own])
+            out = [pieces(m, len(t.as_buffer()), length, most) for m, t in zip(rows.column("marks").to_pylist(), rows.column("bytes"), strict=True)]
             yield pa.record_batch({"th1": rows.column("th1"), "th2": rows.column("th2"), "bytes": rows.column("bytes"), "regions": pa.array(out, kind)})
 
     return run
@@ -129,38 +155,43 @@ def _sort_block(length: int, slices: int):
         rows = rows.sort_by([("key", "ascending"), ("th1", "ascending"), ("th2", "ascending"), ("start", "ascending")])
         block = rows.column("block")[0].as_py()
         parts = [np.frombuffer(b.as_buffer(), np.uint8) for b in rows.column("bytes")]
-        data = np.concatenate(parts) if parts else np.empty(0, np.uint8)
         lengths = np.array([len(p) for p in parts], np.int64)
-        ends = np.cumsum(lengths)
+        data = np.concatenate(parts)
+        del parts
+        texts = rows.select([*_TEXT, "start", "marks"]).to_pydict()
+        del rows
+        n, ends = len(data), np.cumsum(lengths)
         order = suffix_array(data)
-        new = common_prefixes(data, order) < length
+        group = np.cumsum(common_prefixes(data, order) < length, dtype=np.int32) - 1
         # A start counts if its string ends inside its region.
-        inside = np.repeat(ends, lengths) - np.arange(len(data)) >= length
-        group = np.cumsum(new) - 1
-        members = np.bincount(group, weights=inside[order], minlength=1) if len(order) else np.zeros(1)
-        repeated = order[(members[group] > 1) & inside[order]] if len(order) else order
-        first = np.zeros(len(data), bool)
-        if len(order):
-            counted = order[inside[order]]
-            own = group[inside[order]]
-            first[counted[np.concatenate([[True], own[1:] != own[:-1]])]] = True  # one of each distinct string
+        whole_ = np.ones(n, bool)
+        for end, size in zip(ends.tolist(), lengths.tolist(), strict=True):
+            whole_[max(end - size, end - length + 1) : end] = False
+        inside = whole_[order]
+        order, group = order[inside], group[inside]
+        del inside, whole_
+        repeated = order[np.bincount(group, minlength=1)[group] > 1]
+        first = np.zeros(n, bool)  # one start of each distinct string
+        first[order[np.append(True, group[1:] != group[:-1])[: len(order)]]] = True
+        del order, group
         known = {m for h in crossing.column("hs").to_pylist() for m in h}
-        near = np.zeros(len(data) + 1, np.int64)
-        for end, n, marks in zip(ends.tolist(), lengths.tolist(), rows.column("marks").to_pylist(), strict=True):
-            for m in marks:
+        near = np.zeros(n + 1, np.int32)
+        for end, size, stretches in zip(ends.tolist(), lengths.tolist(), texts["marks"], strict=True):
+            for m in stretches:
                 if m["h"] in known:
-                    at = end - n + m["p"]
-                    near[max(end - n, at + gram - length)] += 1
-                    near[min(at, len(data) - 1) + 1] -= 1
-        given = np.flatnonzero(first & (np.cumsum(near)[:-1] > 0)) if len(data) else np.empty(0, np.int64)
+                    near[max(end - size, end - size + m["p"] + gram - length)] += 1
+                    near[min(end - size + m["q"], n - 1) + 1] -= 1
+        given = np.flatnonzero(first & (np.cumsum(near)[:-1] > 0))
+        del first, near
         prints, checks = _prints(data, length, given)
+        del data
         by = np.argsort(prints, kind="stable")
         prints, checks, given = prints[by], checks[by], given[by]
         # Members of a group stand together in the order; the start that is given out speaks for all of them.
         cuts = np.searchsorted(prints, np.array([min(step * s, (1 << 64) - 1) for s in range(slices)], np.uint64)) if len(prints) else np.zeros(slices, np.int64)
         cuts = np.append(cuts, len(prints))
         lists = [(s, int(a), int(b)) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-        info = {"th1": rows.column("th1").to_pylist(), "th2": rows.column("th2").to_pylist(), "starts": rows.column("start").to_pylist(), "lengths": lengths.tolist()}
+        info = {"th1": texts["th1"], "th2": texts["th2"], "starts": texts["start"], "lengths": lengths.tolist()}
         out = [{"block": block, "slice": -1, "prints": None, "checks": None, "places": repeated.astype(np.int32).tobytes(), **info}]
         for s, a, b in lists:
             out.append({"block": block, "slice": s, "prints": prints[a:b].tobytes(), "checks": checks[a:b].tobytes(), "places": given[a:b].astype(np.int32).tobytes()})
@@ -173,7 +204,7 @@ def _prints(data: np.ndarray, length: int, at: np.ndarray) -> tuple[np.ndarray,
     """64 and 32 bits, by two polynomials, of the strings that start at `at`."""
     if not len(at):
         return np.empty(0, np.uint64), np.empty(0, np.uint32)
-    return gram_hashes(data, length)[at], (gram_hashes(data[::-1], length)[::-1][at] >> np.uint64(32)).astype(np.uint32)
+    return gram_hashes_at(data, length, at), (gram_hashes_at(data[::-1], length, len(data) - length - at) >> np.uint64(32)).astype(np.uint32)
 
 
 def _merge(rows: pa.Table) -> pa.Table:
@@ -261,20 +292,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
     marked = store(keyed.mapInArrow(_mark(length), _MARKED), "marked-texts")
     texts = marked.where(F.col("n_bytes") >= length).groupBy(*_TEXT).agg(F.count("*").alias("copies"), F.min("doc_id").alias("sample"), F.first("marks").alias("marks"))
     texts = store(texts, "distinct-texts")
-    marks = texts.select("th1", F.explode("marks").alias("m")).select("th1", "m.h", "m.p")
-    twice = marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    repeated = marks.join(twice, "h").groupBy("th1").agg(F.collect_set(F.struct("h", "p")).alias("marks"))
+    marked_at = texts.select("th1", F.explode("marks").alias("m")).select("th1", "m.h", "m.p", "m.q")
+    twice = marked_at.groupBy("h").agg(F.sum(F.when(F.col("q") > F.col("p"), 2).otherwise(1)).alias("n")).where("n > 1").select("h")
+    repeated = marked_at.join(twice, "h").groupBy("th1").agg(F.collect_set(F.struct("h", "p", "q")).alias("marks"))
     wanted = texts.select(*_TEXT, "sample").join(repeated, "th1").select(F.col("th1").alias("w1"), F.col("th2").alias("w2"), "sample", "marks")
     # The hashed side holds marks; the texts need no sort.
     chosen = keyed.join(wanted.hint("shuffle_hash"), (F.col("th1") == F.col("w1")) & (F.col("th2") == F.col("w2")) & F.col("doc_id").eqNullSafe(F.col("sample")))
-    cut_out = store(chosen.select(*_TEXT, "bytes", "marks").mapInArrow(_regions(length), f"th1 bigint, th2 bigint, bytes binary, regions array<{_REGION}>"), "repeat-texts")
+    cut_out = store(chosen.select(*_TEXT, "bytes", "marks").mapInArrow(_regions(length, max(2 * length, block_bytes // 2)), f"th1 bigint, th2 bigint, bytes binary, regions array<{_REGION}>"), "repeat-texts")
 
     r = F.col("r")
     regions = cut_out.select(*_TEXT, "bytes", F.explode("regions").alias("r")).select(
         *_TEXT, r["start"].alias("start"), r["stop"].alias("stop"), r["key"].alias("key"), r["marks"].alias("marks"), F.expr("substring(bytes, r.start + 1, r.stop - r.start)").alias("bytes")
     )
-    regions = regions.where(F.col("stop") - F.col("start") >= length).repartitionByRange("key", "th1").sortWithinPartitions("key", "th1", "th2", "start")
-    blocks = store(regions.mapInArrow(_number_blocks(block_bytes), "block string, th1 bigint, th2 bigint, start int, stop int, key bigint, marks array<struct<h:bigint,p:int>>, bytes binary"), "repeat-blocks")
+    regions = regions.repartitionByRange("key", "th1").sortWithinPartitions("key", "th1", "th2", "start")
+    blocks = store(regions.mapInArrow(_number_blocks(block_bytes), f"block string, th1 bigint, th2 bigint, start int, stop int, key bigint, marks {_MARKS}, bytes binary"), "repeat-blocks")
     homes = blocks.select(F.col("block").alias("home"), F.explode("marks.h").alias("h")).distinct()
     shared = homes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     crossing = homes.join(shared, "h").groupBy("home").agg(F.collect_list("h").alias("hs"))
