@@ -167,7 +167,8 @@ def neighbour_information(df: DataFrame, features: Sequence[str], target: str, b
         out = asking[[*keys, "x", "y"]]
         copies = np.minimum(own["w"].to_numpy(), k)
         x, y = (np.repeat(own[c].to_numpy(), copies) for c in "xy")
-        return out.assign(near=list(_least(x, y, asking["x"].to_numpy(), asking["y"].to_numpy(), k)))
+        least = list(_least(x, y, asking["x"].to_numpy(), asking["y"].to_numpy(), k))
+        return out.assign(near=pd.Series(least, index=out.index, dtype=object))
 
     named = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema if f.name in (*keys, "x", "y"))
     found = cells.select(*home, "x", "y", "w").groupBy(*home).cogroup(asked.groupBy(*home)).applyInPandas(across, f"{named}, near array<double>")
