@@ -1,12 +1,11 @@
-"""Models on Spark ML, and their evaluation with plain aggregates.
+"""Models on Spark ML (and `boosting` for trees that grow leaf by leaf), and their evaluation with plain aggregates.
 
-Fits loop over a handful of folds or parameter sets on the driver; each fit is a distributed job.
+Fits loop over a handful of folds or parameter sets on the driver; each fit is a distributed job, or none where sums suffice
+(`additive`).
 """
 
 from __future__ import annotations
 
-import random
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -16,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.expr import div
+from marketloom.operators import additive, boosting, sampler
 from marketloom.operators.ordering import cumulative, positions, quantiles
 from marketloom.operators.pit import embargo_folds, walk_forward_bounds
 from marketloom.session import materialize
@@ -46,7 +46,7 @@ def pipeline(name: str, features: list[str], label: str, rows: int = 0, **kw) ->
     seed = kw.pop("seed", 42)
     trees = {"numTrees": kw.pop("n_estimators", 100), "maxDepth": kw.pop("max_depth", 5), "seed": seed} if name.startswith("random_forest") else {}
     boost = {}
-    if name.startswith(("xgboost", "lightgbm", "gbt")):
+    if name.startswith(("xgboost", "gbt")):
         boost = {"maxIter": kw.pop("n_estimators", 50), "maxDepth": kw.pop("max_depth", 4), "stepSize": kw.pop("learning_rate", 0.1), "subsamplingRate": kw.pop("subsample", 1.0), "seed": seed}
     alpha = kw.pop("alpha", 1.0)
     if name == "linear_regression":
@@ -63,9 +63,9 @@ def pipeline(name: str, features: list[str], label: str, rows: int = 0, **kw) ->
         return Pipeline(stages=[*preprocessing(features, False), RandomForestRegressor(**cols, **trees)])
     if name == "random_forest_classifier":
         return Pipeline(stages=[*preprocessing(features, False), RandomForestClassifier(**cols, **trees)])
-    if name in ("gbt_regressor", "xgboost_regressor", "lightgbm_regressor"):
+    if name in ("gbt_regressor", "xgboost_regressor"):
         return Pipeline(stages=[*preprocessing(features), GBTRegressor(**cols, **boost)])
-    if name in ("gbt_classifier", "xgboost_classifier", "lightgbm_classifier"):
+    if name in ("gbt_classifier", "xgboost_classifier"):
         return Pipeline(stages=[*preprocessing(features), GBTClassifier(**cols, **boost)])
     raise ValueError(f"Unknown model: {name}")
 
@@ -95,6 +95,9 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
 def fit_predict(name: str, train: DataFrame, test: DataFrame, features: list[str], label: str, **kw) -> DataFrame:
     if name.startswith("baseline_"):
         return baseline_predictions(train, test, label, name)
+    if name.startswith("lightgbm_"):
+        objective = "logistic" if name.endswith("classifier") else "squared"
+        return boosting.fit(train, features, label, boosting.Boosting(objective, **({"n_estimators": 100} | kw))).transform(test)
     rows = train.count() if name in ("ridge", "logistic_regression") else 0
     return predict(pipeline(name, features, label, rows, **kw).fit(train), test)
 
@@ -226,47 +229,69 @@ def fold_summary(metrics: DataFrame, primary: str) -> DataFrame:
     ).withColumn("primary_metric", F.lit(primary))
 
 
+def walk_forward_linear(df: DataFrame, name: str, features: list[str], label: str, at: str, train_window: int, step: int, gap: int = 0, mode: str = "expanding", alpha: float = 1.0) -> DataFrame:
+    """n, RMSE and R2 of a linear model on every fold of `walk_forward`, all folds from one pass over the rows."""
+    lo, hi = df.agg(F.min(at), F.max(at)).first()
+    ranges = [(k, ((a, False), (b, False)), ((c, False), (d, False))) for k, a, b, c, d in walk_forward_bounds(lo, hi, train_window, step, gap, mode)]
+    rows = [(f.fold, *f.score(name, alpha).values()) for f in additive.folds(df, features, label, at, ranges)]
+    if not rows:
+        raise ValueError("No valid folds completed.")
+    return df.sparkSession.createDataFrame(rows, "fold int, n long, RMSE double, R2 double")
+
+
 # Search ranges (low, high, logarithmic).
 SEARCH_SPACE = {
-    "gbt": {"n_estimators": (50, 300, False), "max_depth": (2, 8, False), "learning_rate": (1e-3, 0.1, True), "subsample": (0.5, 1.0, False)},
+    "xgboost": {"n_estimators": (50, 300, False), "max_depth": (2, 8, False), "learning_rate": (1e-3, 0.1, True), "subsample": (0.5, 1.0, False)},
+    "lightgbm": {"n_estimators": (50, 300, False), "max_depth": (2, 8, False), "learning_rate": (1e-3, 0.1, True), "num_leaves": (10, 50, False)},
     "linear": {"alpha": (1e-4, 1e2, True)},
 }
 
 
-def candidates(name: str, trials: int, seed: int = 42, space: dict | None = None) -> list[dict]:
-    """Seeded random parameter sets."""
-    if space is None:
-        space = SEARCH_SPACE["linear" if name in ("ridge", "lasso") else "gbt"]
-    rng, out = random.Random(seed), []
-    for _ in range(trials):
-        c = {}
-        for k, (lo, hi, log) in space.items():
-            v = lo * (hi / lo) ** rng.random() if log else lo + (hi - lo) * rng.random()
-            c[k] = int(round(v)) if isinstance(lo, int) else v
-        out.append(c)
-    return out
+def search_space(name: str) -> dict:
+    kind = {"gbt": "xgboost", "xgboost": "xgboost", "lightgbm": "lightgbm", "ridge": "linear", "lasso": "linear", "elastic": "linear"}.get(name.split("_")[0])
+    if kind is None:
+        raise ValueError(f"No search space for {name}")
+    return SEARCH_SPACE[kind]
+
 
+def search(
+    df: DataFrame, name: str, features: list[str], label: str, at: str, trials: int = 20, metric: str = "RMSE", n_splits: int = 3, gap: int = 0,
+    seed: int = 42, startup: int = 10, space: dict | None = None,
+) -> DataFrame:
+    """A table of trials with their mean fold metric over embargoed folds, best first: candidate, params, value, metric, rank.
 
-def search(df: DataFrame, name: str, features: list[str], label: str, at: str, params: list[dict], metric: str = "RMSE", n_splits: int = 3, gap: int = 0) -> DataFrame:
-    """Mean fold metric per parameter set over embargoed folds, best first."""
-    folds = df.join(embargo_folds(df, at, n_splits, gap), at)
-    folds = materialize(folds, "folds")
-    spark = df.sparkSession
-    ks = sorted(r.fold for r in folds.select("fold").distinct().collect())
-    rows = []
-    for i, p in enumerate(params):
-        preds = None
-        for k in ks:
-            part = folds.where(F.col("fold") == k)
-            one = fit_predict(name, part.where("role = 'TRAIN'"), part.where("role = 'VALIDATION'"), features, label, **dict(p))
-            preds = one if preds is None else preds.unionByName(one)
-        m = regression_metrics(preds, ["fold"], label) if metric in ("RMSE", "MAE", "MedAE", "R2") else classification_metrics(preds, ["fold"], label)
-        if metric in ("PR_AUC", "ROC_AUC", "LogLoss"):
-            m = probability_metrics(preds, ["fold"], label)
-        rows.append((i, str(sorted(p.items())), float(m.agg(F.avg(metric)).first()[0])))
-    out = spark.createDataFrame(rows, "candidate int, params string, value double").withColumn("metric", F.lit(metric))
+    Parameters are suggested from the trials before (`sampler`). Linear models judged by RMSE or R2 take every fold and trial from
+    one pass (`additive`); others fit each fold of each trial.
+    """
+    days = embargo_folds(df, at, n_splits, gap)
+    spans = days.groupBy("fold", "role").agg(F.min(at).alias("a"), F.max(at).alias("b")).collect()  # two rows a fold
+    at_fold = {(r.fold, r.role): ((r.a, False), (r.b, True)) for r in spans}
+    numbers = sorted({k for k, _ in at_fold})
+    sign = 1.0 if metric in LOWER_IS_BETTER else -1.0
+    if name in additive.PENALTIES and metric in ("RMSE", "R2"):
+        parts = additive.folds(df, features, label, at, [(k, at_fold[k, "TRAIN"], at_fold[k, "VALIDATION"]) for k in numbers])
+
+        def value(p: dict) -> float:
+            return sum(f.score(name, p.get("alpha", 1.0))[metric] for f in parts) / len(parts)
+    else:
+        rows = materialize(df.join(days, at), "folds")
+
+        def value(p: dict) -> float:
+            preds = None
+            for k in numbers:
+                part = rows.where(F.col("fold") == k)
+                one = fit_predict(name, part.where("role = 'TRAIN'"), part.where("role = 'VALIDATION'"), features, label, **p)
+                preds = one if preds is None else preds.unionByName(one)
+            if metric in ("PR_AUC", "ROC_AUC", "LogLoss"):
+                m = probability_metrics(preds, ["fold"], label)
+            else:
+                m = regression_metrics(preds, ["fold"], label) if metric in ("RMSE", "MAE", "MedAE", "R2") else classification_metrics(preds, ["fold"], label)
+            return float(m.agg(F.avg(metric)).first()[0])
+
+    done = sampler.minimise(space or search_space(name), lambda p: sign * value(p), trials, seed, startup)
+    out = df.sparkSession.createDataFrame([(i, str(sorted(p.items())), sign * v) for i, (p, v) in enumerate(done)], "candidate int, params string, value double").withColumn("metric", F.lit(metric))
     order = F.asc("value") if metric in LOWER_IS_BETTER else F.desc("value")
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(order, "candidate")))
+    return out.withColumn("rank", F.row_number().over(Window.orderBy(order, "candidate")))  # one row a trial
 
 
 # --- explanation -----------------------------------------------------------------------------------

@@ -1,7 +1,9 @@
 from pyspark.sql import functions as F
 
 from marketloom.functions.expr import rnd
+from marketloom.operators import additive
 from marketloom.operators import audit as A
+from marketloom.operators import boosting
 from marketloom.operators import features as X
 from marketloom.operators import models as M
 from marketloom.operators import pit
@@ -242,6 +244,15 @@ def ml_06(spark, sf):
     return a.unionByName(b)
 
 
+@query("ml_06_leafwise", sql(MARKET, DATA, "SELECT unnest(range(0, 5)) AS round, (SELECT count(*) FROM dt) AS n, true AS falls"))
+def ml_06_leafwise(spark, sf):
+    """Leaf-wise boosting: the training loss falls with every tree."""
+    df = materialize(mi_data(spark, sf), "rows")
+    model = boosting.fit(df, MI_FEATS, "target", boosting.Boosting(n_estimators=5), track=True)
+    falls = [(k, b < a) for k, (a, b) in enumerate(zip(model.losses, model.losses[1:]))]
+    return spark.createDataFrame(falls, "round int, falls boolean").withColumn("n", df.agg(F.count(F.lit(1)).alias("n")).scalar())
+
+
 # --- metrics with a comparison query ---------------------------------------------------------------
 
 FORECAST = """fc AS (SELECT t.symbol, t.prediction_time, t.target_value AS y, (m.volume % 201 - 100) / 10000.0::DOUBLE AS yhat FROM targs t JOIN market_prices m ON t.symbol = m.symbol AND t.prediction_time = m.ts WHERE t.target_value IS NOT NULL)"""
@@ -356,11 +367,44 @@ def ml_14(spark, sf):
 
 @query("ml_15")
 def ml_15(spark, sf):
-    df = dataset(spark, sf)
-    out = M.search(df, "lasso", FEATS, "target_value", "prediction_time", M.candidates("lasso", 20), "RMSE", gap=10)
+    """Twenty trials each for two linear models: all folds of all trials from one pass."""
+    df, out = dataset(spark, sf), None
+    for name in ("ridge", "lasso"):
+        one = M.search(df, name, FEATS, "target_value", "prediction_time", 20, "RMSE", gap=10).withColumn("model", F.lit(name))
+        out = one if out is None else out.unionByName(one)
     return rounded(out, ["value"], 4)
 
 
+#: Normal equations of a least-squares fit, from the rows: residuals have no mean and no product with a feature.
+@query(
+    "ml_03_normal",
+    sql(
+        MARKET, DATA,
+        "x AS (SELECT unnest(['intercept', 'ret_1d', 'ret_5d', 'vol_ratio_20d']) AS term)",
+        "SELECT term, 0.0::DOUBLE AS product, (SELECT count(*) FROM dt) AS n FROM x",
+    ),
+)
+def ml_03_normal(spark, sf):
+    """A least-squares fit from sums of products, checked on the rows: mean products of residuals and standardised terms."""
+    df = materialize(mi_data(spark, sf), "rows")
+    sums = additive.sums_of_products(df, MI_FEATS, "target", "prediction_time", [])
+    model = additive.fit(additive.filled(sums.over([0]), [0.0] * len(MI_FEATS)))
+    rest = F.col("target") - model.intercept - sum((F.col(c) * float(b) for c, b in zip(MI_FEATS, model.coefficients, strict=True)), F.lit(0.0))
+    terms = [F.struct(F.lit(t).alias("term"), (rest * v).alias("p")) for t, v in [("intercept", F.lit(1.0)), *[(c, F.col(c)) for c in MI_FEATS]]]
+    found = df.select(F.explode(F.array(*terms)).alias("t")).groupBy("t.term").agg(F.avg("t.p").alias("product"), F.count(F.lit(1)).alias("n"))
+    return found.select("term", F.abs(rnd("product", 9)).alias("product"), "n")
+
+
+@query("ml_14_linear")
+def ml_14_linear(spark, sf):
+    """Walk-forward scores of four linear models from one pass over the rows each."""
+    df, out = dataset(spark, sf), None
+    for name in ("linear_regression", "ridge", "lasso", "elastic_net"):
+        one = M.walk_forward_linear(df, name, FEATS, "target_value", "prediction_time", 500, 250, 5, alpha=0.01).withColumn("model", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, ["RMSE", "R2"], 4)
+
+
 @query("ml_16")
 def ml_16(spark, sf):
     train, valid, _ = splits(spark, sf)
