@@ -42,7 +42,7 @@ def assess(
     out = entities.select("entity_id").distinct().withColumn("_k", F.lit(1))
     out = out.join(facts, "entity_id", "left").join(pred, "entity_id", "left").join(risk, "entity_id", "left").join(stat, "_k", "left").drop("_k")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    text = F.when(F.col("prediction").isNotNull(), F.format_string("Predicted return is %.4f", "prediction")).otherwise("No prediction available.")
+    text = F.when(F.col("prediction").isNotNull(), F.format_string("Expected return: %.4f", "prediction")).otherwise("No forecast yet")
     payload = F.struct(
         F.struct(
             zero("recent_articles").alias("Recent_Articles_Count"), F.coalesce("topics", F.array().cast("array<string>")).alias("Dominant_Topics"),

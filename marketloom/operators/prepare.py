@@ -132,16 +132,16 @@ def timeline(news: DataFrame, market: DataFrame, predictions: DataFrame, cutoff:
 
     n = latest(news, "entity_id", "published_at", "article_id", news_limit).select(
         "entity_id", F.col("published_at").alias("event_time"), F.lit("NEWS EVENT").alias("type"),
-        F.concat(F.lit("Article published: "), "title").alias("description"), F.col("article_id").cast("string").alias("source_id"),
+        F.concat(F.lit("In the news: "), "title").alias("description"), F.col("article_id").cast("string").alias("source_id"),
     )
     m = latest(market, "symbol", "ts", "close", recent).select(
         F.col("symbol").alias("entity_id"), F.col("ts").cast("timestamp").alias("event_time"), F.lit("MARKET OBSERVATION").alias("type"),
-        F.format_string("Market closed at %.2f (Log Return: %s)", "close", F.coalesce(F.format_string("%.6f", "log_return"), F.lit("None"))).alias("description"),
+        F.format_string("Close %.2f, log return %s", "close", F.coalesce(F.format_string("%.6f", "log_return"), F.lit("unknown"))).alias("description"),
         F.concat_ws("-", "symbol", F.col("ts").cast("string")).alias("source_id"),
     )
     p = latest(predictions, "entity_id", "prediction_time", "prediction_id", recent).select(
         "entity_id", F.col("prediction_time").cast("timestamp").alias("event_time"), F.lit("MODEL PREDICTION").alias("type"),
-        F.format_string("Model '%s' predicted %.4f", "model_name", "prediction").alias("description"), F.col("prediction_id").alias("source_id"),
+        F.format_string("%s expects %.4f", "model_name", "prediction").alias("description"), F.col("prediction_id").alias("source_id"),
     )
     return n.unionByName(m).unionByName(p)
 

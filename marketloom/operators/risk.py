@@ -34,8 +34,9 @@ def parametric(df: DataFrame, by: list[str], x: str, confidence: float = 0.95) -
     return m.where(F.col("sample_size") >= 30)
 
 
-FAT_TAIL = "Fat Tail Warning: Excess Kurtosis is %.2f. The Normal distribution assumption severely underestimates tail risk."
-NO_CVAR = "CVaR is undefined for Parametric Normal in this engine due to extreme model risk."
+# The words before the colon, and "exceeds" with its percentage in the reasons of `classify`.
+FAT_TAIL = "Fat Tail Warning: excess kurtosis %.2f, losses reach further than a normal curve allows"
+NO_CVAR = "The normal method gives no expected loss beyond its value at risk"
 
 
 def risk_metrics(df: DataFrame, by: list[str], x: str, confidence: float = 0.95, method: str = "historical") -> DataFrame:
@@ -91,8 +92,17 @@ def check_weights(weights: DataFrame, returns: DataFrame, by: str = "symbol") ->
     return g.withColumn("status", status)
 
 
+def accepted_weights(weights: DataFrame, returns: DataFrame, by: str = "symbol") -> DataFrame:
+    """The weights; reading one of a refused portfolio is an error that names it."""
+    checked = check_weights(weights, returns, by).select("portfolio", "status", "total_weight", "missing_assets")
+    refused = F.raise_error(F.format_string("Portfolio %s refused: %s, weights add up to %.4f, %d assets without returns", "portfolio", "status", "total_weight", "missing_assets"))
+    return weights.join(checked, "portfolio").withColumn("weight", F.when(F.col("status") == "OK", F.col("weight")).otherwise(refused.cast("double"))).select(*weights.columns)
+
+
 def portfolio_returns(returns: DataFrame, weights: DataFrame, x: str = "daily_return", by: str = "symbol", ts: str = "ts", keys: tuple[str, ...] = ()) -> DataFrame:
-    """One return per portfolio and day; null when any asset has none that day."""
+    """One return per portfolio and day; null when any asset has none that day. Portfolios that `check_weights` refuses end the
+    query with an error."""
+    weights = accepted_weights(weights, returns, by)
     assets = weights.groupBy("portfolio").agg(F.count(F.lit(1)).alias("_assets"))
     j = returns.join(weights, by)
     day = j.groupBy(*keys, "portfolio", ts).agg(F.count(x).alias("_have"), F.sum(F.col(x) * F.col("weight")).alias("_r"))
@@ -271,14 +281,14 @@ def classify(metrics: DataFrame) -> DataFrame:
     rule = lambda level, cond, *text: F.when((lv == level) & cond, F.concat(*[F.lit(t) if isinstance(t, str) else t for t in text]))
     drivers = F.array_compact(
         F.array(
-            rule("CRITICAL", dd > 0.40, "Max Drawdown (", _pct(dd), ") exceeds 40% threshold."),
-            rule("CRITICAL", es99 > 0.10, "Expected Shortfall 99% (", _pct(es99), ") exceeds 10% daily tail threshold."),
-            rule("HIGH", dd > 0.20, "Max Drawdown (", _pct(dd), ") exceeds 20% threshold."),
-            rule("HIGH", es95 > 0.05, "Expected Shortfall 95% (", _pct(es95), ") exceeds 5% daily tail threshold."),
-            rule("HIGH", conc > 0.60, "Severe Risk Concentration: Top 3 assets generate ", _pct(conc), " of portfolio volatility."),
-            rule("MODERATE", vol > 0.15, "Annualized Volatility (", _pct(vol), ") exceeds 15% threshold."),
-            rule("MODERATE", es95 > 0.02, "Expected Shortfall 95% (", _pct(es95), ") exceeds 2% daily tail threshold."),
-            rule("LOW", F.lit(True), "All metrics fall below MODERATE risk thresholds."),
+            rule("CRITICAL", dd > 0.40, "Fall from the peak of ", _pct(dd), " exceeds 40%"),
+            rule("CRITICAL", es99 > 0.10, "Mean loss on the worst 1% of days of ", _pct(es99), " exceeds 10%"),
+            rule("HIGH", dd > 0.20, "Fall from the peak of ", _pct(dd), " exceeds 20%"),
+            rule("HIGH", es95 > 0.05, "Mean loss on the worst 5% of days of ", _pct(es95), " exceeds 5%"),
+            rule("HIGH", conc > 0.60, "Three assets carry ", _pct(conc), " of the risk"),
+            rule("MODERATE", vol > 0.15, "Yearly deviation of ", _pct(vol), " exceeds 15%"),
+            rule("MODERATE", es95 > 0.02, "Mean loss on the worst 5% of days of ", _pct(es95), " exceeds 2%"),
+            rule("LOW", F.lit(True), "No limit is reached"),
         )
     )
     return metrics.withColumn("classification", label).withColumn("drivers", drivers).withColumn("methodology_version", F.lit("v1.0"))

@@ -39,15 +39,15 @@ def risk_03(spark, sf):
     "risk_04",
     sql(
         RETURNS, NN, VARS,
-        f"""SELECT symbol, 'historical' AS method, 0.95::DOUBLE AS confidence_level, n AS sample_size, {r('v', 8)} AS var, {r('avg(x) FILTER (WHERE x <= v)', 8)} AS cvar, 0 AS n_warnings
+        f"""SELECT symbol, 'historical' AS method, 0.95::DOUBLE AS confidence_level, n AS sample_size, {r('v', 8)} AS var, {r('avg(x) FILTER (WHERE x <= v)', 8)} AS cvar, '' AS warnings
 FROM rr JOIN vr USING (symbol) GROUP BY symbol, v, n
-UNION ALL SELECT symbol, 'parametric_normal', 0.95::DOUBLE, count(*), {r(f'avg(x) + {Z95} * stddev_pop(x)', 8)}, NULL, 1 + CASE WHEN kurtosis_pop(x) > 1 THEN 1 ELSE 0 END FROM rr GROUP BY symbol""",
+UNION ALL SELECT symbol, 'parametric_normal', 0.95::DOUBLE, count(*), {r(f'avg(x) + {Z95} * stddev_pop(x)', 8)}, NULL, CASE WHEN kurtosis_pop(x) > 1 THEN printf('Fat Tail Warning: excess kurtosis %.2f, losses reach further than a normal curve allows|', kurtosis_pop(x)) ELSE '' END || 'The normal method gives no expected loss beyond its value at risk' FROM rr GROUP BY symbol""",
     ),
 )
 def risk_04(spark, sf):
     rets = V.returns(spark, sf)
     both = R.risk_metrics(rets, ["symbol"], "daily_return").unionByName(R.risk_metrics(rets, ["symbol"], "daily_return", method="parametric_normal"))
-    return rounded(both, ["var", "cvar"]).withColumn("n_warnings", F.size("warnings")).drop("warnings")
+    return rounded(both, ["var", "cvar"]).withColumn("warnings", F.array_join("warnings", "|"))
 
 
 @query(
@@ -77,6 +77,28 @@ def risk_06(spark, sf):
     return rounded(R.portfolio_returns(V.returns(spark, sf), V.portfolio(spark)), ["portfolio_return"])
 
 
+def refused_weights(spark):
+    """The portfolio beside one whose weights do not add up, one with an asset that is not traded, and one with both faults."""
+    main = V.portfolio(spark)
+    heavy = main.withColumns({"portfolio": F.lit("heavy"), "weight": F.col("weight") * 1.2})
+    foreign = main.withColumns({"portfolio": F.lit("foreign"), "symbol": F.when(F.col("symbol") == "SMALL", "FOREIGN").otherwise(F.col("symbol"))})
+    both = foreign.withColumns({"portfolio": F.lit("both"), "weight": F.col("weight") * 0.5})
+    return main.unionByName(heavy).unionByName(foreign).unionByName(both)
+
+
+@query(
+    "risk_06_refused",
+    sql(
+        RETURNS, PORTFOLIO,
+        "all_(portfolio, symbol, weight) AS (SELECT 'main', symbol, weight FROM portfolio UNION ALL SELECT 'heavy', symbol, weight * 1.2 FROM portfolio UNION ALL SELECT p, CASE symbol WHEN 'SMALL' THEN 'FOREIGN' ELSE symbol END, weight * f FROM portfolio, (VALUES ('foreign', 1.0), ('both', 0.5)) x(p, f))",
+        f"""SELECT portfolio, {r('sum(weight)', 8)} AS total_weight, count(*) FILTER (WHERE symbol NOT IN (SELECT symbol FROM returns)) AS missing_assets,
+  CASE WHEN abs(sum(weight) - 1) > 0.01 THEN 'BAD_WEIGHTS' WHEN count(*) FILTER (WHERE symbol NOT IN (SELECT symbol FROM returns)) > 0 THEN 'MISSING_ASSETS' ELSE 'OK' END AS status FROM all_ GROUP BY portfolio""",
+    ),
+)
+def risk_06_refused(spark, sf):
+    return rounded(R.check_weights(refused_weights(spark), V.returns(spark, sf)), ["total_weight"])
+
+
 @query("risk_07", sql(RETURNS, PORTFOLIO, COV, f"SELECT a, b, n, {r('cov', 12)} AS cov FROM cv WHERE a <= b"))
 def risk_07(spark, sf):
     return rounded(R.covariance(V.returns(spark, sf), V.portfolio(spark)), ["cov"], 12)
@@ -192,6 +214,9 @@ def risk_15(spark, sf):
 CLASS = """CASE WHEN dd > 0.40 OR es99 > 0.10 THEN 'CRITICAL' WHEN dd > 0.20 OR es95 > 0.05 OR conc > 0.60 THEN 'HIGH' WHEN vol > 0.15 OR es95 > 0.02 THEN 'MODERATE' ELSE 'LOW' END"""
 
 
+PCT = "printf('%.1f%%', {} * 100)"
+
+
 @query(
     "risk_16",
     sql(
@@ -199,8 +224,12 @@ CLASS = """CASE WHEN dd > 0.40 OR es99 > 0.10 THEN 'CRITICAL' WHEN dd > 0.20 OR
         "q AS (SELECT symbol, quantile_cont(x, 0.05) AS v95, quantile_cont(x, 0.01) AS v99 FROM rr GROUP BY symbol)",
         "t AS (SELECT symbol, abs(avg(x) FILTER (WHERE x <= v95)) * 3 AS es95, abs(avg(x) FILTER (WHERE x <= v99)) * 3 AS es99, stddev_samp(x) * sqrt(252) AS vol, 0.0::DOUBLE AS conc FROM rr JOIN q USING (symbol) GROUP BY symbol)",
         "w AS (SELECT symbol, abs(min(dd)) AS dd FROM (SELECT symbol, wealth / max(wealth) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS dd FROM (SELECT symbol, ts, exp(sum(ln(1 + x)) OVER (PARTITION BY symbol ORDER BY ts)) AS wealth FROM rr)) GROUP BY symbol)",
-        f"""SELECT symbol, {CLASS} AS classification, CAST(CASE {CLASS} WHEN 'CRITICAL' THEN CAST(dd > 0.40 AS INTEGER) + CAST(es99 > 0.10 AS INTEGER)
-  WHEN 'HIGH' THEN CAST(dd > 0.20 AS INTEGER) + CAST(es95 > 0.05 AS INTEGER) + CAST(conc > 0.60 AS INTEGER) WHEN 'MODERATE' THEN CAST(vol > 0.15 AS INTEGER) + CAST(es95 > 0.02 AS INTEGER) ELSE 1 END AS INTEGER) AS n_drivers
+        f"""SELECT symbol, {CLASS} AS classification, CASE {CLASS}
+  WHEN 'CRITICAL' THEN concat_ws('|', CASE WHEN dd > 0.40 THEN 'Fall from the peak of ' || {PCT.format('dd')} || ' exceeds 40%' END, CASE WHEN es99 > 0.10 THEN 'Mean loss on the worst 1% of days of ' || {PCT.format('es99')} || ' exceeds 10%' END)
+  WHEN 'HIGH' THEN concat_ws('|', CASE WHEN dd > 0.20 THEN 'Fall from the peak of ' || {PCT.format('dd')} || ' exceeds 20%' END, CASE WHEN es95 > 0.05 THEN 'Mean loss on the worst 5% of days of ' || {PCT.format('es95')} || ' exceeds 5%' END,
+    CASE WHEN conc > 0.60 THEN 'Three assets carry ' || {PCT.format('conc')} || ' of the risk' END)
+  WHEN 'MODERATE' THEN concat_ws('|', CASE WHEN vol > 0.15 THEN 'Yearly deviation of ' || {PCT.format('vol')} || ' exceeds 15%' END, CASE WHEN es95 > 0.02 THEN 'Mean loss on the worst 5% of days of ' || {PCT.format('es95')} || ' exceeds 2%' END)
+  ELSE 'No limit is reached' END AS drivers
 FROM t JOIN w USING (symbol)""",
     ),
 )
@@ -210,7 +239,7 @@ def risk_16(spark, sf):
     es = lambda c, o: R.historical(rets, ["symbol"], "daily_return", c).select("symbol", (F.col("cvar") * 3).alias(o))
     vol = rets.groupBy("symbol").agg((F.stddev_samp("daily_return") * 252**0.5).alias("annualized_volatility"), F.lit(0.0).alias("top_3_risk_concentration"))
     m = vol.join(es(0.95, "historical_cvar"), "symbol").join(es(0.99, "cvar_99"), "symbol").join(R.max_drawdown(rets, ["symbol"], "ts", "daily_return"), "symbol")
-    return R.classify(m).select("symbol", "classification", F.size("drivers").alias("n_drivers"))
+    return R.classify(m).select("symbol", "classification", F.array_join("drivers", "|").alias("drivers"))
 
 
 @query(

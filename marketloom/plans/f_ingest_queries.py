@@ -323,8 +323,8 @@ def snk_10(spark, sf):
 
 # --- validation ------------------------------------------------------------------------------------
 
-MESSAGE = """CASE check_name WHEN 'missing_fields' THEN 'One or more OHLCV fields are missing' WHEN 'high_less_than_low' THEN 'High (' || CAST(high AS VARCHAR) || ') is less than Low (' || CAST(low AS VARCHAR) || ')'
-  ELSE 'Volume (' || CAST(volume AS VARCHAR) || ') is negative' END"""
+MESSAGE = """CASE check_name WHEN 'missing_fields' THEN 'a price or the volume is not given' WHEN 'high_less_than_low' THEN 'high ' || CAST(high AS VARCHAR) || ' lies under low ' || CAST(low AS VARCHAR)
+  ELSE 'volume ' || CAST(volume AS VARCHAR) || ' below zero' END"""
 
 
 @query("val_01", sql(MARKET, DEFECTIVE, f"SELECT symbol || '@' || CAST(ts AS VARCHAR) AS scope, check_name, 'CRITICAL' AS severity, {MESSAGE} AS message FROM flag WHERE check_name IS NOT NULL"))
@@ -336,8 +336,8 @@ def val_01(spark, sf):
     "val_02",
     sql(
         FACTS,
-        """SELECT accession_number || ' | ' || concept AS scope, 'missing_end_date' AS check_name, 'CRITICAL' AS severity, 'Financial fact is missing an end_date' AS message FROM filing_facts WHERE month(end_date) = 3
-UNION ALL SELECT accession_number || ' | ' || concept, 'missing_value', 'WARNING', 'Financial fact has a null value' FROM filing_facts WHERE form_type = '10-K' AND concept = 'us-gaap:Assets'""",
+        """SELECT accession_number || ' | ' || concept AS scope, 'missing_end_date' AS check_name, 'CRITICAL' AS severity, 'no end date' AS message FROM filing_facts WHERE month(end_date) = 3
+UNION ALL SELECT accession_number || ' | ' || concept, 'missing_value', 'WARNING', 'no value' FROM filing_facts WHERE form_type = '10-K' AND concept = 'us-gaap:Assets'""",
     ),
 )
 def val_02(spark, sf):
@@ -350,7 +350,7 @@ def val_02(spark, sf):
     "val_03",
     sql(
         MACRO,
-        "SELECT series_id || '@' || CAST(observation_date AS VARCHAR) AS scope, 'missing_observation' AS check_name, 'WARNING' AS severity, 'Observation value is null (expected FRED anomaly ''.'')' AS message FROM macro_obs WHERE month(observation_date) = 2",
+        "SELECT series_id || '@' || CAST(observation_date AS VARCHAR) AS scope, 'missing_observation' AS check_name, 'WARNING' AS severity, 'no value for the day, as sources mark by a dot' AS message FROM macro_obs WHERE month(observation_date) = 2",
     ),
 )
 def val_03(spark, sf):

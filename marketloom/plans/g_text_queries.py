@@ -284,8 +284,8 @@ def rel_03(spark, sf):
     "rel_04",
     sql(
         *EVENT_CTES, TOPIC_TEST, FDR,
-        """SELECT horizon, topic, CASE WHEN q > 0.05 THEN printf('No statistically significant relationship observed between presence of topic ''%s'' and subsequent market behavior (p=%.3f).', topic, q)
-  ELSE printf('A statistically significant %s (%s) relationship is associated with presence of topic ''%s'' and subsequent market behavior (coef=%.3f, p=%.3f). Note: This observed relationship does not guarantee future results or prove causality.',
+        """SELECT horizon, topic, CASE WHEN q > 0.05 THEN printf('presence of topic ''%s'': returns afterwards do not differ beyond chance (p=%.3f)', topic, q)
+  ELSE printf('presence of topic ''%s'' goes together with returns afterwards: %s, %s (coefficient %.3f, p=%.3f). An observation, neither a cause nor a forecast.',
     CASE WHEN ma > mb THEN 'positive' ELSE 'negative' END, CASE WHEN abs(ma - mb) > 0.5 THEN 'strong' ELSE 'weak to moderate' END, topic, ma - mb, q) END AS finding FROM fdr""",
     ),
 )

@@ -212,11 +212,11 @@ def res_06(spark, sf):
 # --- assessment ------------------------------------------------------------------------------------
 
 CUT = "2000-03-31 12:00:00"
-TIMELINE = f"""tn AS (SELECT r.canonical_entity_id AS entity_id, n.published_at AS t, 'NEWS EVENT' AS type, sha256('Article published: ' || n.title) AS description, CAST(n.article_id AS VARCHAR) AS source_id,
+TIMELINE = f"""tn AS (SELECT r.canonical_entity_id AS entity_id, n.published_at AS t, 'NEWS EVENT' AS type, sha256('In the news: ' || n.title) AS description, CAST(n.article_id AS VARCHAR) AS source_id,
   row_number() OVER (PARTITION BY r.canonical_entity_id ORDER BY n.published_at DESC, n.article_id) AS k FROM news n JOIN res r USING (article_id) WHERE r.canonical_entity_id IS NOT NULL AND n.published_at <= TIMESTAMP '{CUT}'),
-tm AS (SELECT symbol, CAST(ts AS TIMESTAMP) AS t, 'MARKET OBSERVATION' AS type, sha256(printf('Market closed at %.2f (Log Return: %s)', close, coalesce(printf('%.6f', log_return), 'None'))) AS description, symbol || '-' || CAST(ts AS VARCHAR) AS source_id,
+tm AS (SELECT symbol, CAST(ts AS TIMESTAMP) AS t, 'MARKET OBSERVATION' AS type, sha256(printf('Close %.2f, log return %s', close, coalesce(printf('%.6f', log_return), 'unknown'))) AS description, symbol || '-' || CAST(ts AS VARCHAR) AS source_id,
   row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM returns WHERE ts <= DATE '2000-03-31'),
-tq AS (SELECT entity_id, CAST(prediction_time AS TIMESTAMP) AS t, 'MODEL PREDICTION' AS type, sha256(printf('Model ''%s'' predicted %.4f', model_version, prediction)) AS description, prediction_id AS source_id,
+tq AS (SELECT entity_id, CAST(prediction_time AS TIMESTAMP) AS t, 'MODEL PREDICTION' AS type, sha256(printf('%s expects %.4f', model_version, prediction)) AS description, prediction_id AS source_id,
   row_number() OVER (PARTITION BY entity_id ORDER BY prediction_time DESC, prediction_id) AS k FROM predictions WHERE prediction_time <= DATE '2000-03-31')"""
 
 
@@ -270,7 +270,7 @@ rc AS (SELECT symbol, abs(avg(daily_return) FILTER (WHERE daily_return <= v)) AS
     "int_01",
     sql(
         NEWS, FOUND_OK, RESOLVED, FEEL_OK, TOPICS_OK, RETURNS, PREDICTIONS, TIMELINE, ASSESS,
-        """SELECT p.entity_id, q.model_version, printf('Predicted return is %.4f', q.prediction) AS prediction_text, q.model_version = 'm1' AS has_explanation, coalesce(n, 0) AS recent_articles, coalesce(pos, 0) AS positive, coalesce(neg, 0) AS negative,
+        """SELECT p.entity_id, q.model_version, printf('Expected return: %.4f', q.prediction) AS prediction_text, q.model_version = 'm1' AS has_explanation, coalesce(n, 0) AS recent_articles, coalesce(pos, 0) AS positive, coalesce(neg, 0) AS negative,
   coalesce(topics, '') AS topics, CASE WHEN dd > 0.4 THEN 'CRITICAL' WHEN dd > 0.2 OR es > 0.05 THEN 'HIGH' WHEN vol > 0.15 OR es > 0.02 THEN 'MODERATE' ELSE 'LOW' END AS risk_classification, (SELECT CAST(count(DISTINCT sentiment_label) AS INTEGER) FROM sent JOIN news USING (article_id) WHERE published_at <= TIMESTAMP '"""
         + CUT + """') AS findings
 FROM np p JOIN predictions q ON q.prediction_id = p.pid LEFT JOIN nf ON nf.entity_id = p.entity_id JOIN rc ON rc.symbol = p.entity_id""",

@@ -64,3 +64,12 @@ def test_parametric_needs_thirty(spark):
     assert R.parametric(df, ["g"], "x").count() == 0
     with pytest.raises(ValueError):
         R.risk_metrics(df, ["g"], "x", method="guess")
+
+
+def test_refused_portfolios(spark):
+    returns = spark.createDataFrame([("A", 1, 0.1), ("B", 1, 0.2)], "symbol string, ts int, daily_return double")
+    good = spark.createDataFrame([("p", "A", 0.5), ("p", "B", 0.505)], "portfolio string, symbol string, weight double")
+    assert R.portfolio_returns(returns, good).count() == 1
+    for bad, word in (([("p", "A", 0.5), ("p", "B", 0.6)], "BAD_WEIGHTS"), ([("p", "A", 0.5), ("p", "C", 0.5)], "MISSING_ASSETS")):
+        with pytest.raises(Exception, match=f"Portfolio p refused: {word}"):
+            R.portfolio_returns(returns, spark.createDataFrame(bad, good.schema)).collect()

@@ -96,7 +96,7 @@ def test_benjamini_hochberg_is_monotone(spark):
 def test_finding_text(spark):
     df = spark.createDataFrame([(0.2, 0.1), (0.001, -0.7), (None, 0.0)], "p double, c double")
     texts = [r.t for r in df.select(L.finding_text(F.lit("x"), F.col("p"), F.col("c")).alias("t")).collect()]
-    assert texts[0].startswith("No statistically") and "negative (strong)" in texts[1] and texts[2].startswith("Insufficient")
+    assert "beyond chance" in texts[0] and "negative, strong" in texts[1] and texts[2].startswith("Too little")
     assert not math.isnan(len(texts))
 
 
