@@ -16,6 +16,9 @@ from marketloom.llm.queries import token_digests, vocabulary_json
 #: No SQL for the fit of the quality model and the tokenizer; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
+#: Words of a shingle in the near-dedup stage; documents with a similarity of 0.8 or more are one.
+WORDS = 5
+
 
 def _columns(docs: DataFrame) -> list:
     return [F.col(f"`{c}`") for c in docs.columns]
@@ -29,24 +32,29 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep, whole and with the columns of `docs`."""
     return quality.judge(docs, out="__quality").where("__quality.kept").select(*_columns(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents without the lines that the operator drops; n_chars is that of the new text."""
     out = linededup.dedup_lines(docs).select(*_columns(docs))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, minhash.near_duplicates(docs).where("NOT kept"))
+    """One document of each group of near duplicates, the one with the smallest id. Copies of a row with that id stay all."""
+    return _without(docs, minhash.near_duplicates(docs, words=WORDS).where("NOT kept"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of `benchmark` by the rule of `contaminated`."""
     found = contamination.matches(contamination.build_index(docs), table(spark, sf_dir, "benchmark"))
     return _without(docs, found.where(contamination.contaminated()))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, number of tokens and digests of ids and decoded text per document kept."""
     return token_digests(bpe.encode_decode(docs, vocabulary_json()))
 
 
@@ -60,6 +68,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order on `documents`; every stage but the last is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = store(stage(spark, docs, sf_dir), f"corpus-{name.replace(' ', '-')}")
