@@ -12,6 +12,7 @@ from marketloom.llm.common import ascii_lower, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
+    """Tokens of every section of every document; a boundary token goes to the section of its first byte."""
     import public_tokenizers
 
     with open(ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
@@ -20,14 +21,17 @@ def op1_token_counts(spark: SparkSession, sf_dir: str, ranks: str | None = None)
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; null html gives an empty one."""
     return htmltext.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License wordings and cue lines of all documents; documents without any have no row."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base verdict and posterior of every document; null texts have no words and fail the base rule."""
     q = F.col("quality")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     featured = quality.judge(docs, drop_text=True)
@@ -37,15 +41,18 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of the set, component and verdict of every document, on shingles of two words."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, dropped lines and digest of what stays of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup_lines(docs).select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, hit words, items and verdict of every document against all items of `benchmark`."""
     index = contamination.build_index(table(spark, sf_dir, "documents"))
     found = contamination.matches(index, table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -59,14 +66,17 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document; sizes of shards are near equal."""
     return sharding.histogram_sort(table(spark, sf_dir, "documents"), shards=8)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """Number and digest of the tokens of every document and digest of the text they decode to."""
     return token_digests(bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary_json(vocabulary)))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes, removed bytes and spans, and digest of what stays of every document."""
     cut = repeats.remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.b - s.a)
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
