@@ -45,7 +45,7 @@ def quality_audit(df: DataFrame, features: list[str], max_missing: float = 0.3)
     reason = (
         F.when(F.col("missing_rate") > max_missing, F.concat(F.lit("Missingness rate "), pct("missing_rate"), F.lit(f", {limit} allowed")))
         .when(F.col("_n") == 0, "No value at all")
-        .when(F.col("_inf") > 0, "Infinite values")
+        .when(F.col("_inf") > 0, "Holds infinite values")
         .when(F.col("std_dev").isNull() | (F.col("std_dev") == 0), "Constant Variance: one value throughout")
         .when(F.col("top_share") > 0.99, F.concat(F.lit("One value makes up "), pct("top_share"), F.lit(" of the rows")))
         .when((F.col("p99") > 0.01) & (F.col("max_value") > 100 * F.col("p99")), "Extreme Outliers: the maximum is more than a hundred times the 99th percentile")
