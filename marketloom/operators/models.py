@@ -10,12 +10,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.expr import div
-from marketloom.operators import additive, boosting, sampler
+from marketloom.operators import additive, boosting, isotonic, sampler
 from marketloom.operators.ordering import cumulative, positions, quantiles
 from marketloom.operators.pit import embargo_folds, walk_forward_bounds
 from marketloom.session import materialize
@@ -162,10 +162,8 @@ def reliability_curve(df: DataFrame, by: list[str], y: str = "actual", p: str =
 
 def calibrate(calibration: DataFrame, test: DataFrame, y: str = "actual", score: str = "probability", method: str = "isotonic") -> DataFrame:
     """`calibrated` probability on `test`, learned from independent rows. Equal scores are pooled first."""
-    pooled = calibration.groupBy(score).agg(F.avg(F.col(y).cast("double")).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w"))
     if method == "isotonic":
-        model = IsotonicRegression(featuresCol=score, labelCol="_y", weightCol="_w", predictionCol="calibrated").fit(pooled)
-        return model.transform(test)
+        return isotonic.fit(calibration, score, y).predict(test, score)
     if method != "sigmoid":
         raise ValueError(f"Unknown calibration: {method}")
     two = calibration.groupBy(score, F.col(y).cast("double").alias("_y")).agg(F.count(F.lit(1)).cast("double").alias("_w"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.expr import div, series
+from marketloom.session import materialize
 
 
 class LeakageError(ValueError):
@@ -78,8 +79,9 @@ def assign_partitions(
 
 
 def build_dataset(features: DataFrame, target: DataFrame, available: list[str], by: str = "symbol", **boundaries) -> DataFrame:
-    """Features joined to targets, checked for leakage, and split by time."""
-    df = features.join(target, [by, "prediction_time"])
+    """Features joined to targets, checked for leakage, and split by time. The joined rows are written once and read by the check
+    and the caller."""
+    df = materialize(features.join(target, [by, "prediction_time"]), "dataset")
     bad = [r for r in dataset_violations(df, available).collect() if r.violations]
     if bad:
         raise LeakageError("; ".join(f"{r.check_name}: {r.violations} rows" for r in bad))

@@ -418,6 +418,24 @@ BOUNDS = {"train_end": "1998-12-31", "validation": ("1999-01-01", "2000-06-30"),
 PARTITION = """CASE WHEN prediction_time <= DATE '1998-12-31' THEN 'TRAIN' WHEN prediction_time BETWEEN DATE '1999-01-01' AND DATE '2000-06-30' THEN 'VALIDATION' WHEN prediction_time >= DATE '2000-07-01' THEN 'TEST' END"""
 
 
+@query(
+    "join_04_dataset",
+    sql(
+        MARKET,
+        FEATURES,
+        TARGETS,
+        f"""SELECT symbol, CAST(prediction_time AS VARCHAR) AS prediction_time, CAST(target_end_time AS VARCHAR) AS target_end_time, {r('ret_5d', 8)} AS ret_5d, {r('target_value', 8)} AS target_value,
+  CASE WHEN prediction_time <= DATE '1998-12-31' THEN 'TRAIN' WHEN prediction_time BETWEEN DATE '1999-01-01' AND DATE '2000-06-30' THEN 'VALIDATION' ELSE 'TEST' END AS partition
+FROM feats JOIN targs USING (symbol, prediction_time) WHERE target_value IS NOT NULL AND (prediction_time <= DATE '1998-12-31' OR prediction_time >= DATE '1999-01-01')""",
+    ),
+)
+def join_04_dataset(spark, sf):
+    """The supervised dataset in one call: joined, checked for leakage (prices are known on their day), split by time."""
+    known = features(spark, sf).withColumn("prices_known_at", F.col("prediction_time"))
+    df = pit.build_dataset(known, pit.targets(V.market_prices(spark, sf), 5), ["prices_known_at"], **BOUNDS)
+    return df.select("symbol", "prediction_time", "target_end_time", rnd("ret_5d", 8).alias("ret_5d"), rnd("target_value", 8).alias("target_value"), "partition")
+
+
 @query("ds_01", sql(MARKET, TARGETS, f"SELECT symbol, CAST(prediction_time AS VARCHAR) AS prediction_time, {PARTITION} AS partition FROM targs WHERE target_value IS NOT NULL"))
 def ds_01(spark, sf):
     return pit.assign_partitions(pit.targets(V.market_prices(spark, sf), 5), **BOUNDS).select("symbol", "prediction_time", "partition")

@@ -1,3 +1,4 @@
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.expr import rnd
@@ -5,6 +6,7 @@ from marketloom.operators import additive
 from marketloom.operators import audit as A
 from marketloom.operators import boosting
 from marketloom.operators import features as X
+from marketloom.operators import isotonic
 from marketloom.operators import models as M
 from marketloom.operators import pit
 from marketloom.operators.neighbours import neighbour_information
@@ -319,6 +321,18 @@ def ml_10(spark, sf):
     return rounded(df, ["prob_true", "prob_pred", "Brier_Score"], 8)
 
 
+@query("ml_11_monotone", sql(SCORES, f"SELECT count(*) AS n, {r('avg(y)', 8)} AS mean_outcome, {r('avg(y)', 8)} AS mean_calibrated, 0 AS falls FROM scores"))
+def ml_11_monotone(spark, sf):
+    """What defines the fit: forecasts never fall with the score, and their mean is that of the outcomes."""
+    s = V.classifier_scores(spark, sf).select("id", "y", "p")
+    out = materialize(isotonic.fit(s, "p", "y").predict(s, "p"), "calibrated")
+    steps = out.groupBy("p").agg(F.min("calibrated").alias("lo"), F.max("calibrated").alias("hi"))  # a row per score, 101 at most
+    before = F.max("hi").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
+    falls = steps.withColumn("before", before).agg(F.count_if(F.col("before") > F.col("lo") + 1e-12).cast("int").alias("falls"))
+    found = out.agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean_outcome"), F.avg("calibrated").alias("mean_calibrated"))
+    return rounded(found.withColumn("falls", falls.scalar()), ["mean_outcome", "mean_calibrated"], 8)
+
+
 @query("ml_11")
 def ml_11(spark, sf):
     s = scores(spark, sf)
