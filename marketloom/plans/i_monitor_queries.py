@@ -239,8 +239,8 @@ def entity_articles(spark, seen):
     return tickers(spark, seen).where("canonical_entity_id IS NOT NULL").select("article_id", F.col("canonical_entity_id").alias("entity_id")).distinct()
 
 
-def assessments(spark, sf, cut):
-    seen = annotated(spark, sf)
+def assessments(spark, sf, cut, seen=None):
+    seen = annotated(spark, sf) if seen is None else seen
     arts = seen.select("article_id", "published_at").join(entity_articles(spark, seen), "article_id")
     feel = seen.select("article_id", "sentiment_label")
     main = main_topics(seen)
@@ -296,7 +296,8 @@ def int_01(spark, sf):
 )
 def int_02(spark, sf):
     """The newer of two assessments of each entity."""
-    both = assessments(spark, sf, CUT).unionByName(assessments(spark, sf, "1998-06-30 00:00:00"))
+    seen = annotated(spark, sf)  # both read the same annotations
+    both = assessments(spark, sf, CUT, seen).unionByName(assessments(spark, sf, "1998-06-30 00:00:00", seen))
     return I.provenance(both.drop("structured_assessment")).select("entity_id", "data_cutoff_time", "model_version", "feature_version", "methodology_version")
 
 
@@ -363,7 +364,7 @@ decided AS (SELECT content_hash, k, article_id, published_at, article_id AS firs
 )
 def st_02(spark, sf):
     """State of a hash lives for a year after its first article; the watermark is a week behind."""
-    n = V.news(spark, sf).select("article_id", "published_at", prepare.content_hash().alias("content_hash"))
+    n = materialize(V.news(spark, sf).select("article_id", "published_at", prepare.content_hash().alias("content_hash")), "hashes")  # texts are read once
     again = n.where("article_id % 3 = 0")
     again = again.withColumns({"published_at": F.col("published_at") + F.make_dt_interval(((F.col("article_id") % 5) * 100).cast("int")), "article_id": F.col("article_id") + 1_000_000_000})
     sent = n.unionByName(again)

@@ -67,3 +67,76 @@ def test_alert_states(spark, cuts):
         (day(3), 9.0, "CRITICAL", "v 9.0", day(5), "ACTIVE", 2),
     ]
     assert late == 0 and commits <= len(turns)
+
+
+class Handle:
+    """State in memory that counts the calls."""
+
+    def __init__(self):
+        self.calls, self.lists, self.one, self.timers = 0, {}, [], set()
+
+    def getListState(self, name, schema):
+        return State(self, self.lists.setdefault(name, []))
+
+    def getValueState(self, name, schema):
+        return State(self, self.one)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+
+class State:
+    def __init__(self, handle, rows):
+        self.handle, self.rows = handle, rows
+
+    def exists(self):
+        self.handle.calls += 1
+        return bool(self.rows)
+
+    def get(self):
+        self.handle.calls += 1
+        return list(self.rows) if self.rows is not self.handle.one else self.rows[0]
+
+    def appendList(self, rows):
+        self.handle.calls += 1
+        self.rows += rows
+
+    def update(self, row):
+        self.handle.calls += 1
+        self.rows[:] = [row]
+
+    def clear(self):
+        self.handle.calls += 1
+        self.rows.clear()
+
+
+class Watermark:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+
+def test_state_calls_do_not_grow_with_keys():
+    """A thousand hashes of one bucket, each with two articles: a few calls to the state store and one timer."""
+    import pandas as pd
+
+    p, h = keyed.FirstArticles(ttl_days=1), Handle()
+    p.init(h)
+    n = 1000
+    frame = pd.DataFrame({"content_hash": [f"h{i % n}" for i in range(2 * n)], "at": [(i // n) * 3_600_000_000 + i for i in range(2 * n)], "number": range(2 * n), "unnumbered": False})
+    assert list(p.handleInputRows((0,), iter([frame]), Watermark(0))) == []
+    assert len(h.timers) == 1 and not h.lists["held"]
+    h.timers.clear()  # it fires
+    out = pd.concat(p.handleExpiredTimer((0,), Watermark(4_000_000), None))
+    assert h.calls <= 25 and len(h.timers) == 1 and not h.lists["waiting"]
+    assert list(out.decision.value_counts()[["NEW", "DUPLICATE"]]) == [n, n] and set(out.canonical_article_id) == set(range(n))
+    h.timers.clear()
+    assert list(p.handleExpiredTimer((0,), Watermark(400_000_000), None)) == []
+    assert not h.lists["held"] and not h.timers
