@@ -5,15 +5,39 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TAG = re.compile(r"<[^>]+>")
+#: Texts taken at a time, however many a batch has.
+SLICE = 64
 
 
-@F.pandas_udf(T.StringType())
-def unescape_nfkc(text: pd.Series) -> pd.Series:
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
+def clean(text: str) -> str:
     """Entities are decoded first, so that encoded tags go too; then tags, then compatibility forms."""
-    return text.map(lambda t: unicodedata.normalize("NFKC", TAG.sub(" ", html.unescape(t))), na_action="ignore")
+    return unicodedata.normalize("NFKC", TAG.sub(" ", html.unescape(text)))
+
+
+def cleaned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        for start in range(0, len(batch), SLICE):
+            yield pa.array([None if t is None else clean(t) for t in batch.slice(start, SLICE).to_pylist()], pa.string())
+
+
+@F.arrow_udf(T.StringType())
+def _cleaned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    yield from cleaned(batches)
+
+
+def unescape_nfkc(text: Column) -> Column:
+    """Only texts that can change go to Python: an ASCII text without `&` and `<` stays as it is."""
+    plain = is_ascii(text) & ~F.contains(text, F.lit("&")) & ~F.contains(text, F.lit("<"))
+    return F.when(plain, text).otherwise(_cleaned(F.when(~plain, text)))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.functions.textclean import unescape_nfkc
+from marketloom.functions.textclean import is_ascii, unescape_nfkc
 from marketloom.session import materialize
 
 # Sentiment words, ambiguous names, the small knowledge base and the topic patterns.
@@ -33,13 +36,15 @@ TOPIC_PATTERNS = {
     "Market Movement": [r"\bshares up\b", r"\bshares down\b", r"\bstock surges\b", r"\bstock plunges\b", r"\bselloff\b", r"\brally\b"],
 }
 MIN_CHARS = 50
+#: All characters of the Unicode property White_Space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 TOPIC_MODEL = "keyword_taxonomy_v1"
 SENTIMENT_MODEL = "fallback_heuristic_v1"
 
 
 def strip(c: Column) -> Column:
     """Trims all Unicode white space, not only blanks."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def choose_text(content: str = "content", description: str = "description", title: str = "title") -> Column:
@@ -53,13 +58,26 @@ def text_gate(text: str) -> Column:
     return F.when(n == 0, "empty_text").when(n < MIN_CHARS, "extremely_short_content").otherwise("ok")
 
 
+def _steps(text: Column, *steps: Callable[[Column], Column]) -> Column:
+    """One step after the other; each result is computed once, though a step names it several times."""
+    held = F.array(text)
+    for step in steps:
+        held = F.transform(held, step)
+    return held[0]
+
+
 def normalize(text: str) -> Column:
-    t = unescape_nfkc(F.coalesce(F.col(text), F.lit("")))
-    t = F.regexp_replace(t, "[\\u200b-\\u200f\\ufeff]", "")
-    t = F.regexp_replace(t, "[ \t]+", " ")
-    t = F.regexp_replace(t, "\n{3,}", "\n\n")
-    t = F.regexp_replace(t, r"(?i)\[\+\d+\s*chars\]", "")
-    return strip(t)
+    """Each replacement runs only on texts that have what it replaces."""
+    has = lambda t, *words: sum((F.contains(t, F.lit(w)).cast("int") for w in words), F.lit(0)) > 0
+    return _steps(
+        unescape_nfkc(F.coalesce(F.col(text), F.lit(""))),
+        lambda t: F.when(is_ascii(t), t).otherwise(F.regexp_replace(t, "[\\u200b-\\u200f\\ufeff]", "")),
+        # a single blank stays as it is
+        lambda t: F.when(has(t, "  ", "\t"), F.regexp_replace(t, "\t[ \t]*| [ \t]+", " ")).otherwise(t),
+        lambda t: F.when(has(t, "\n\n\n"), F.regexp_replace(t, "\n{3,}", "\n\n")).otherwise(t),
+        lambda t: F.when(has(t, "[+"), F.regexp_replace(t, r"(?i)\[\+\d+\s*chars\]", "")).otherwise(t),
+        strip,
+    )
 
 
 def sentiment(df: DataFrame, text: str, positive: list[str] = POSITIVE_WORDS, negative: list[str] = NEGATIVE_WORDS) -> DataFrame:
@@ -78,8 +96,9 @@ def sentiment(df: DataFrame, text: str, positive: list[str] = POSITIVE_WORDS, ne
 
 
 def capitalised_words(text: str) -> Column:
-    """Distinct capitalised words of a text."""
-    return F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"(?U)\b[A-Z][a-z]+\b"), F.lit(0)))
+    """Distinct capitalised words of a text. An ASCII text needs no Unicode word borders."""
+    found = lambda p: F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0))
+    return F.array_distinct(F.when(is_ascii(F.col(text)), found(r"[A-Z](?<=\b[A-Z])[a-z]+\b")).otherwise(found(r"(?U)\b[A-Z][a-z]+\b")))
 
 
 def match_words(df: DataFrame, key: str, words: str, dictionary: DataFrame) -> DataFrame:
@@ -125,9 +144,28 @@ def entity_quality(resolved: DataFrame, key: str) -> DataFrame:
     )
 
 
+def _plain(patterns: list[str]) -> list[str]:
+    """The same matches by fewer patterns: whole words do not overlap, so distinct ones are counted by one pattern, which looks for
+    a word border only where a first letter fits."""
+    words = {m[1].lower() for p in patterns if (m := re.fullmatch(r"\\b([A-Za-z0-9]+)\\b", p))}
+    rest = [p for p in patterns if not re.fullmatch(r"\\b[A-Za-z0-9]+\\b", p)]
+    if len(words) + len(rest) < len(patterns) or not words:  # a word given twice counts twice
+        return patterns
+    firsts = "".join(sorted({w[0] for w in words}))
+    return [rf"(?=[{firsts}])\b(?:{'|'.join(sorted(words))})\b", *rest]
+
+
+def _count(text: Column, pattern: str) -> Column:
+    """Matches without regard to case. For words and borders in an ASCII text the ASCII rules say the same and are faster."""
+    every = F.regexp_count(text, F.lit("(?iU)" + pattern))
+    if not re.fullmatch(r"(\(\?=\[[a-z0-9]+\]\)|\(\?:|[|)]|\\b|[A-Za-z0-9 ])+", pattern):
+        return every
+    return F.when(is_ascii(text), F.regexp_count(text, F.lit("(?i)" + pattern))).otherwise(every)
+
+
 def topic_hits(text: str, taxonomy: dict[str, list[str]]) -> Column:
     """Array of (topic_name, hits): the patterns of a topic are counted over the whole text."""
-    hits = lambda ps: sum((F.regexp_count(F.col(text), F.lit("(?iU)" + p)) for p in ps), F.lit(0))
+    hits = lambda ps: sum((_count(F.col(text), p) for p in _plain(ps)), F.lit(0))
     return F.array(*[F.struct(F.lit(t).alias("topic_name"), hits(ps).alias("hits")) for t, ps in taxonomy.items()])
 
 
